@@ -219,11 +219,13 @@ def rate_z_short(
     category: str = "template_id",
     slot_us: int | None = None,
     target_rows: int = CHUNK_ROWS,
+    start: DataFrame | None = None,
 ) -> DataFrame:
     """Robust z of the running count in the open bucket against the last ``history`` buckets.
 
     Adds ``bucket``, ``bucket_count`` (this event included) and ``rate_z_short``.  Buckets without
-    the category count as zero, also before its first sight (back to the host's first bucket).
+    the category count as zero, also before its first sight (back to the host's first bucket:
+    ``start`` (hostname, start_bucket) where the rows do not reach back that far).
     """
     host = "hostname"
     slot = slot_us or max(SLOT_US // bucket_us, 1) * bucket_us
@@ -233,7 +235,7 @@ def rate_z_short(
     key = [host, category, "bucket"]
     parts = ev.groupBy(*key, CHUNK).agg(F.count(F.lit(1)).alias("_m"))
     buckets = parts.groupBy(*key).agg(F.sum("_m").alias("_c"))
-    stats = _zero_padded_history(buckets, [host, category], history, bucket_us)
+    stats = _zero_padded_history(buckets, [host, category], history, start)
     # One row per (category, bucket, chunk) brings both the carry and the history to the events.
     side = carry_in(parts, key, ["_m"]).join(stats, key)
     w = Window.partitionBy(*key, CHUNK).orderBy("ts_us", "seq")
@@ -249,7 +251,7 @@ def rate_z_short(
 
 
 def _zero_padded_history(
-    buckets: DataFrame, keys: list[str], history: int, bucket_us: int
+    buckets: DataFrame, keys: list[str], history: int, start: DataFrame | None
 ) -> DataFrame:
     """Median/MAD of the previous ``history`` buckets incl. zeros, per (keys, bucket).
 
@@ -258,7 +260,11 @@ def _zero_padded_history(
     """
     stretch = max(history * 20, 1)
     host = keys[0]
-    start = buckets.groupBy(host).agg(F.min("bucket").alias("_start"))
+    begin = (
+        buckets.groupBy(host).agg(F.min("bucket").alias("_start"))
+        if start is None
+        else start.select(host, F.col("start_bucket").alias("_start"))
+    )
     idx = F.call_function("div", F.col("bucket"), F.lit(stretch).cast("bigint"))
     near_end = F.col("bucket") - idx * stretch >= stretch - history
     spread = buckets.withColumn(
@@ -268,7 +274,7 @@ def _zero_padded_history(
     hist = (
         spread.withColumn("_nz", F.collect_list(F.col("_c").cast("double")).over(w))
         .where(idx == F.col("_st"))
-        .join(start, host)
+        .join(begin, host)
         .withColumn("_len", F.least(F.lit(history), F.col("bucket") - F.col("_start")).cast("int"))
         .withColumn(
             "_h",
