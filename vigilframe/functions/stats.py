@@ -15,6 +15,12 @@ def _col(v) -> Column:
     return v if isinstance(v, Column) else F.lit(v)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body`` (an expression inside a lambda would be
+    evaluated again for every element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clamp(v: Column, lo, hi) -> Column:
     """Clamp that keeps NULL (``least``/``greatest`` alone would skip it)."""
     return F.when(v.isNotNull(), F.least(F.greatest(v, _col(lo)), _col(hi)))
@@ -33,13 +39,15 @@ def median_sorted(arr: Column) -> Column:
 
 def median(arr: Column) -> Column:
     """Mean of the middle two values; NULL when empty."""
-    return median_sorted(F.array_sort(arr))
+    return let(F.array_sort(arr), median_sorted)
 
 
 def mad(arr: Column, med: Column | None = None) -> Column:
     """Median of the absolute deviations from the median."""
-    m = median(arr) if med is None else med
-    return median_sorted(F.array_sort(F.transform(arr, lambda x: F.abs(x - m))))
+    return let(
+        median(arr) if med is None else med,
+        lambda m: let(F.array_sort(F.transform(arr, lambda x: F.abs(x - m))), median_sorted),
+    )
 
 
 def count_scale_floor(med: Column) -> Column:
@@ -57,8 +65,8 @@ def z_from_median_mad(value: Column, med: Column, mad_: Column, min_scale) -> Co
 
 def robust_z(value: Column, history: Column, min_scale) -> Column:
     """Robust z-score of ``value`` against an array<double>; 0 for an empty history."""
-    med = median(history)
-    return F.coalesce(z_from_median_mad(value, med, mad(history, med), min_scale), F.lit(0.0))
+    z = let(median(history), lambda m: z_from_median_mad(value, m, mad(history, m), min_scale))
+    return F.coalesce(z, F.lit(0.0))
 
 
 def surprisal(count: Column, total: Column, distinct: Column, alpha: float = 0.5) -> Column:
@@ -106,8 +114,6 @@ def weighted_median(bins: Column) -> Column:
     Smallest value whose cumulative weight reaches half of the total; when it lands exactly on
     half (1e-9), the mean with the next larger value.  NULL for zero total weight.
     """
-    ordered = F.array_sort(bins)
-    total = F.aggregate(ordered, F.lit(0.0), lambda acc, b: acc + b["weight"])
     start = F.struct(
         F.lit(0.0).alias("cum"),
         F.lit(None).cast("double").alias("first"),
@@ -128,20 +134,27 @@ def weighted_median(bins: Column) -> Column:
             ).alias("result"),
         )
 
-    folded = F.aggregate(
-        ordered,
-        start,
-        lambda acc, b: step(acc, b, total / 2.0),
-        lambda acc: F.coalesce(acc["result"], acc["first"]),
-    )
-    return F.when(total > 0, folded)
+    def fold(total: Column) -> Column:
+        folded = F.aggregate(
+            F.array_sort(bins),
+            start,
+            lambda acc, b: step(acc, b, total / 2.0),
+            lambda acc: F.coalesce(acc["result"], acc["first"]),
+        )
+        return F.when(total > 0, folded)
+
+    return let(F.aggregate(bins, F.lit(0.0), lambda acc, b: acc + b["weight"]), fold)
 
 
 def weighted_mad(bins: Column, med: Column) -> Column:
     """Weighted median of absolute deviations from ``med``."""
-    return weighted_median(
-        F.transform(
-            bins,
-            lambda b: F.struct(F.abs(b["value"] - med).alias("value"), b["weight"].alias("weight")),
-        )
+    return let(
+        med,
+        lambda m: let(
+            F.transform(
+                bins,
+                lambda b: F.struct(F.abs(b["value"] - m).alias("value"), b["weight"].alias("weight")),
+            ),
+            weighted_median,
+        ),
     )
