@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from vigilframe.functions.stats import let
+
 NO_UNIT = "<none>"  # fixed value: stands for a missing unit in every key
 ANY_SLOT = 48  # fixed value: slot that collects all hours
 
@@ -113,11 +115,14 @@ def is_ipv4(ip: Column) -> Column:
 
 def ipv4_to_long(ip: Column) -> Column:
     """Numeric form of a dotted IPv4 address; NULL for anything else."""
-    parts = F.split(ip, r"\.")
-    value = F.lit(0).cast("bigint")
-    for i in range(4):
-        value = value * 256 + F.try_element_at(parts, F.lit(i + 1)).try_cast("bigint")
-    return F.when(is_ipv4(ip), value)
+
+    def number(parts: Column) -> Column:
+        value = F.lit(0).cast("bigint")
+        for i in range(4):
+            value = value * 256 + F.get(parts, F.lit(i)).cast("bigint")
+        return value
+
+    return let(ip, lambda text: F.when(is_ipv4(text), let(F.split(text, r"\."), number)))
 
 
 def long_to_ipv4(value: Column) -> Column:
@@ -129,8 +134,12 @@ def long_to_ipv4(value: Column) -> Column:
 
 def hex_le_ipv4(hex8: Column) -> Column:
     """Eight little-endian hex digits (kernel socket table) to a dotted address."""
-    octets = [F.conv(F.substring(hex8, p, 2), 16, 10) for p in (7, 5, 3, 1)]
-    return F.when(hex8.rlike(r"^[0-9a-fA-F]{8}\z"), F.concat_ws(".", *octets))
+
+    def dotted(text: Column) -> Column:
+        octets = [F.conv(F.substring(text, p, 2), 16, 10) for p in (7, 5, 3, 1)]
+        return F.when(text.rlike(r"^[0-9a-fA-F]{8}\z"), F.concat_ws(".", *octets))
+
+    return let(hex8, dotted)
 
 
 # IPv4 blocks that are not publicly routable (private, loopback, link-local,
@@ -157,10 +166,14 @@ def _ip_num(ip: str) -> int:
 
 def is_routable_public(ip_num: Column) -> Column:
     """True for a numeric IPv4 address outside every special-purpose block."""
-    inside = F.lit(False)
-    for first, last in NON_PUBLIC_BLOCKS:
-        inside = inside | ip_num.between(_ip_num(first), _ip_num(last))
-    return ip_num.isNotNull() & ~inside
+
+    def public(n: Column) -> Column:
+        inside = F.lit(False)
+        for first, last in NON_PUBLIC_BLOCKS:
+            inside = inside | n.between(_ip_num(first), _ip_num(last))
+        return n.isNotNull() & ~inside
+
+    return let(ip_num, public)
 
 
 def valid_position(lat: Column, lon: Column) -> Column:
@@ -191,8 +204,8 @@ def file_ext(path: Column) -> Column:
 
 def parent_dir(path: Column) -> Column:
     """Everything before the last segment ('' for a bare name, '/' below the root)."""
-    return F.when(path.rlike(r"^/[^/]*\z"), F.lit("/")).otherwise(
-        F.regexp_replace(path, r"/?[^/]*\z", "")
+    return F.when(path.rlike(r"^/[^/]*/*\z"), F.lit("/")).otherwise(
+        F.regexp_replace(path, r"/*[^/]*/*\z", "")
     )
 
 
