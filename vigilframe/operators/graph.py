@@ -62,7 +62,12 @@ def greedy_cap_edges(
     accepted: list[DataFrame] = []
     for _ in range(max_rounds):
         ends = live.select(
-            F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("_ra").alias("left")), F.struct(F.col("b").alias("n"), F.col("_rb").alias("left")))).alias("e"),
+            F.explode(
+                F.array(
+                    F.struct(F.col("a").alias("n"), F.col("_ra").alias("left")),
+                    F.struct(F.col("b").alias("n"), F.col("_rb").alias("left")),
+                )
+            ).alias("e"),
             "score", "a", "b",
         ).select("e.n", "e.left", "score", "a", "b")
         best = Window.partitionBy("n").orderBy(F.col("score").desc(), "a", "b")
@@ -74,6 +79,7 @@ def greedy_cap_edges(
             .where(F.col("_ok") == 2)
             .select("a", "b", F.lit(True).alias("_take"))
         )
+        # The only table written per round: this round's pairs with what was taken.
         marked = stage(live.join(good, ["a", "b"], "left"), "greedy")
         taken = marked.where(F.col("_take"))
         if taken.isEmpty():
@@ -82,16 +88,14 @@ def greedy_cap_edges(
         used = (
             taken.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("_u"))
         )
-        rest = marked.where(F.col("_take").isNull()).drop("_take")
+        live = marked.where(F.col("_take").isNull()).drop("_take")
         for end, left in (("a", "_ra"), ("b", "_rb")):
-            rest = (
-                rest.join(used.select(F.col("n").alias(end), "_u"), end, "left")
+            live = (
+                live.join(used.select(F.col("n").alias(end), "_u"), end, "left")
                 .withColumn(left, F.col(left) - F.coalesce("_u", F.lit(0)))
                 .drop("_u")
             )
-        live = stage(rest.where((F.col("_ra") > 0) & (F.col("_rb") > 0)), "greedy")
-        if live.isEmpty():
-            break
+        live = live.where((F.col("_ra") > 0) & (F.col("_rb") > 0))
     out = live.select(*columns).limit(0) if not accepted else accepted[0]
     for part in accepted[1:]:
         out = out.unionByName(part)

@@ -151,6 +151,15 @@ def top_n_per_group(
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for per-row work on an input with very few splits (a single small file).
+
+    Large inputs come in many splits and are returned as they are: no shuffle is added to them.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() * 2 <= min(wanted, 64) else df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only where none is configured."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -51,6 +51,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    """Columns of a table whose rows are costly to process, on all cores."""
+    from vigilframe.operators.ordered import spread
+
+    return spread(table(spark, sf_dir, name).select(*cols))
+
+
 def wall_us(ts: Column) -> Column:
     """Microseconds of a wall-clock timestamp read as UTC, whatever the session time zone is."""
     return F.unix_micros(F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))

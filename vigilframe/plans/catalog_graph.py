@@ -9,7 +9,7 @@ from vigilframe.functions import file_name, file_stem, normalize_path, parent_di
 from vigilframe.operators import graph as G
 from vigilframe.operators import notes as N
 from vigilframe.operators.ordered import stage
-from vigilframe.plans.catalog import query, r6, table
+from vigilframe.plans.catalog import query, table, texts
 from vigilframe.plans.catalog_text import page_notes
 
 # --- shared terms ------------------------------------------------------------------------------
@@ -21,7 +21,8 @@ sc AS (SELECT a.d AS a, b.d AS b, count(*) AS score FROM use a JOIN rare USING (
 
 def _doc_terms(spark, d):
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
-    return table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.explode(words).alias("term")).where(
+    docs = texts(spark, d, "documents", "doc_id", "text")
+    return docs.select(F.col("doc_id").alias("path"), F.explode(words).alias("term")).where(
         F.length("term") >= 4
     )
 

@@ -25,7 +25,7 @@ from vigilframe.operators import notes as N
 from vigilframe.operators import templates as T
 from vigilframe.operators.events import canonical_events
 from vigilframe.operators.notes import content_hash
-from vigilframe.plans.catalog import EV, MSG, events, msg, query, r6, table, wall_us
+from vigilframe.plans.catalog import EV, MSG, events, msg, query, r6, table, texts, wall_us
 from vigilframe.sources.journal import parse_journal, split_parse_errors
 
 # White space as Unicode defines it, and word characters, spelled out for an ASCII-minded engine.
@@ -61,7 +61,8 @@ _MSG_LINES = f"lines AS (SELECT event_id AS k1, 0 AS k2, {MSG} AS line FROM even
 
 
 def _doc_lines(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    docs = texts(spark, d, "documents", "doc_id", "text")
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 @query(
@@ -89,7 +90,8 @@ def mask_class_counts(spark, d):
     f"WITH {_MSG_LINES}{_sql_mask('lines')} SELECT masked, count(*) AS cnt, count(*) >= 3 AS frequent FROM masked GROUP BY masked",
 )
 def template_counts(spark, d):
-    t = table(spark, d, "events").select(F.array_join(mask_tokens(msg()), " ").alias("masked"))
+    e = texts(spark, d, "events", "event_id", "user_id", "event_type", "value")
+    t = e.select(F.array_join(mask_tokens(msg()), " ").alias("masked"))
     return t.groupBy("masked").agg(F.count(F.lit(1)).alias("cnt")).withColumn("frequent", F.col("cnt") >= 3)
 
 
@@ -301,7 +303,7 @@ def page_terms(spark, d):
 
 @query("document_notes")
 def document_notes(spark, d):
-    n = N.extract_notes(table(spark, d, "documents").select("doc_id", "text"))
+    n = N.extract_notes(texts(spark, d, "documents", "doc_id", "text"))
     return n.select("doc_id", "title", F.size("links").alias("links"), F.array_join("terms", " ").alias("terms"))
 
 
