@@ -131,6 +131,18 @@ def test_alert_fold_equals_sequential_model(spark, target):
     assert {r.seq: (r.emitted, r.suppressed_since_last) for r in got} == alerts
 
 
+@pytest.mark.parametrize("target", [10**9, 20])
+def test_weighted_quantile(spark, target):
+    from vigilframe.operators.entropy import weighted_quantile_mid
+
+    rng = random.Random(8)
+    values = [rng.randint(0, 150) / 2 for _ in range(400)]
+    df = spark.createDataFrame([("k", v) for v in values], "k string, v double")
+    for keys in (["k"], []):
+        got = weighted_quantile_mid(df, keys, "v", target_rows=target).collect()[0]
+        assert (got.median, got.total_weight) == (statistics.median(values), 400.0)
+
+
 def test_top_n(spark):
     rows = [("hot" if i % 3 else "cold", i) for i in range(1000)]
     df = spark.createDataFrame(rows, "k string, v bigint")

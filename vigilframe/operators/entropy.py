@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vigilframe.operators.ordered import CHUNK, CHUNK_ROWS, with_chunks
 from vigilframe.functions import (
     bucket_of,
     c_log_c,
@@ -45,31 +46,47 @@ def bucket_counts(tev: DataFrame, keys: list[str], bucket_us: int) -> DataFrame:
 
 
 def weighted_quantile_mid(
-    df: DataFrame, keys: list[str], value: str, weight: Column | None = None
+    df: DataFrame, keys: list[str], value: str, weight: Column | None = None, target_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Weighted median per key (``median``): the smallest value reaching half of the total weight.
 
-    Works on distinct values: weights are summed per (key, value) before anything is ordered, so
-    the ordered step sees each value once.  Ties at exactly half average with the next value.
+    Works on distinct values: weights are summed per (key, value) before anything is ordered.  A
+    key with very many values is ordered in chunks of its value range.  Ties at exactly half
+    average with the next value.
     """
     w = F.lit(1.0) if weight is None else weight
-    bins = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(w).alias("_w"))
-    run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    nxt = Window.partitionBy(*keys).orderBy(value)
-    total = bins.groupBy(*keys).agg(F.sum("_w").alias("_total"))
-    cum = bins.withColumns(
-        {"_cum": F.sum("_w").over(run), "_next": F.lead(value).over(nxt)}
+    # A constant key keeps the ungrouped case on the same path.
+    key = keys or ["_all"]
+    rows = df if keys else df.withColumn("_all", F.lit(0))
+    bins = rows.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.sum(w).alias("_w"))
+    bins = with_chunks(bins, key, position=F.col(value).cast("double"), target_rows=target_rows)
+    parts = bins.groupBy(*key, CHUNK).agg(F.sum("_w").alias("_w"), F.min(value).alias("_lo"))
+    ordered = Window.partitionBy(*key).orderBy(CHUNK)
+    everything = Window.partitionBy(*key)
+    side = parts.select(
+        *key, CHUNK,
+        F.coalesce(F.sum("_w").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"),
+        F.sum("_w").over(everything).alias("_total"),
+        F.lead("_lo").over(ordered).alias("_after"),
     )
+    local = Window.partitionBy(*key, CHUNK).orderBy(value)
+    cum = bins.withColumns(
+        {
+            "_cum": F.sum("_w").over(local.rowsBetween(Window.unboundedPreceding, 0)),
+            "_next": F.lead(value).over(local),
+        }
+    ).join(side, [*key, CHUNK])
+    cum = cum.withColumns({"_cum": F.col("_cum") + F.col("_before"), "_next": F.coalesce("_next", "_after")})
     half = F.col("_total") / 2.0
     exact = (F.abs(F.col("_cum") - half) < 1e-9) & F.col("_next").isNotNull()
     hit = F.when(exact, (F.col(value) + F.col("_next")) / 2.0).otherwise(F.col(value).cast("double"))
-    joined = cum.join(total, keys) if keys else cum.crossJoin(F.broadcast(total))
-    return (
-        joined.where((F.col("_cum") >= half) | exact)
+    out = (
+        cum.where((F.col("_cum") >= half) | exact)
         .withColumn("_hit", hit)
-        .groupBy(*keys)
+        .groupBy(*key)
         .agg(F.min_by("_hit", value).alias("median"), F.first("_total").alias("total_weight"))
     )
+    return out if keys else out.drop("_all")
 
 
 def median_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -27,6 +27,7 @@ def with_chunks(
     slot_us: int = SLOT_US,
     target_rows: int = CHUNK_ROWS,
     at_end: str | None = None,
+    position: Column | None = None,
 ) -> DataFrame:
     """Add ``_chunk``: non-decreasing in (ts, seq) within ``keys`` and of limited size.
 
@@ -39,6 +40,9 @@ def with_chunks(
     common case without oversized slots keeps a plain plan.  Only tables about oversized slots are
     broadcast: they have at most rows/target_rows entries of 64 numbers.
     """
+    if position is not None:
+        df = df.withColumn("__zero", F.lit(0).cast("bigint")).withColumn("__at", position)
+        ts = seq = "__zero"
     slotted = df.withColumn("__slot", F.call_function("div", F.col(ts), F.lit(slot_us).cast("bigint")))
     slot_key = [*keys, "__slot"]
     hot = (
@@ -48,9 +52,9 @@ def with_chunks(
         .drop("__n")
     )
     if hot.isEmpty():
-        return slotted.withColumn(CHUNK, F.col("__slot") * 4096).drop("__slot")
-    cols = [*slot_key, ts, seq, *([at_end] if at_end else [])]
-    pos = _position(ts, seq, slot_us, at_end)
+        return slotted.withColumn(CHUNK, F.col("__slot") * 4096).drop("__slot", "__zero", "__at")
+    cols = [*slot_key, ts, seq, *([at_end] if at_end else []), *(["__at"] if position is not None else [])]
+    pos = F.col("__at") if position is not None else _position(ts, seq, slot_us, at_end)
     sub1 = _below(F.col("__cuts1"), F.col("__pos"))
     sub2 = _below(F.col("__cuts2"), F.col("__pos"))
 
@@ -73,7 +77,7 @@ def with_chunks(
         .withColumn("__sub1", sub1)
         .join(F.broadcast(cuts2), piece_key, "left")
         .withColumn(CHUNK, (F.col("__slot") * 64 + F.col("__sub1")) * 64 + sub2)
-        .drop("__slot", "__s0", "__s1", "__cuts1", "__cuts2", "__sub1", "__pos")
+        .drop("__slot", "__s0", "__s1", "__cuts1", "__cuts2", "__sub1", "__pos", "__zero", "__at")
     )
 
 
@@ -162,7 +166,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only where none is configured."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         current = spark.sparkContext.getCheckpointDir()
         if current:
