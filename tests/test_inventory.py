@@ -138,3 +138,45 @@ def test_sinks_and_store(spark, tmp_path):
     target = str(tmp_path / "table")
     assert store.write_if_changed(snaps, target) and not store.write_if_changed(snaps.orderBy("events"), target)
     assert store.write_if_changed(snaps.limit(1), target)
+
+
+def test_location_chain(spark):
+    hint = "struct<lat:double,lon:double,city:string,country:string>"
+    countries = spark.createDataFrame([("DE", 51.0, 9.0, "Germany"), ("US", 38.0, -97.0, "United States")], "code string, lat double, lon double, name string")
+    rows = [
+        ("9.0.0.1", "US", None, None, None, None, None, (50.0, 8.0, "Frankfurt", "DE")), ("9.0.0.2", "US", "DE", "Bonn", 50.7, 7.1, "NRW", None),
+        ("9.0.0.3", "DE", None, None, None, None, None, None), ("9.0.0.4", None, None, None, None, None, None, None), ("9.0.0.5", "ZZ", None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, f"ip string, country_code string, city_country string, city string, lat double, lon double, region string, hint {hint}")
+    located = G.combine_location(df, countries).cache()
+    got = {r.ip[-1]: r.located and (r.located.country, r.located.city, r.located.source) for r in located.collect()}
+    assert got == {
+        "1": ("DE", "Frankfurt", "reverse_dns"), "2": ("DE", "Bonn", "city_database"), "3": ("DE", None, "country"), "4": None, "5": None,
+    }
+    hops = spark.createDataFrame(
+        [("9.0.0.3", 1, "192.168.1.1"), ("9.0.0.3", 2, None), ("9.0.0.3", 3, "9.0.0.1"), ("9.0.0.3", 4, "9.0.0.4"), ("9.0.0.3", 5, "9.0.0.3")],
+        "target string, ttl int, ip string",
+    )
+    placed = G.locate_hops(hops, located.select("ip", "located", "hint"), countries).cache()
+    assert [r.place for r in placed.orderBy("ttl").collect()] == ["local network", None, "Frankfurt, Germany", None, "Germany"]
+    assert [r.ttl for r in G.waypoints(placed).collect()] == [3]
+    points = located.where("located is not null").select("ip", "located.*")
+    refined = {r.ip[-1]: (r.city, r.source) for r in G.refine_from_route(points, placed).collect()}
+    assert refined == {"1": ("Frankfurt", "reverse_dns"), "2": ("Bonn", "city_database"), "3": ("Frankfurt", "route")}
+
+
+def test_late_policy(spark):
+    from vigilframe.streaming.windows import clamp_interval_ms, late_policy
+
+    batch = spark.createDataFrame([("h", 100, 0), ("h", 50, 1), ("h", 39, 2), ("h", 200, 3), ("h", 150, 4), ("g", 5, 0)], "hostname string, ts_us bigint, seq bigint")
+    newest = spark.createDataFrame([("g", 1000)], "hostname string, newest_us bigint")
+    got = {(r.hostname, r.seq): (r.effective_ts_us, r.dropped_late) for r in late_policy(batch, newest, 60).collect()}
+    assert got == {("h", 0): (100, False), ("h", 1): (100, False), ("h", 2): (100, True), ("h", 3): (200, False), ("h", 4): (200, False), ("g", 0): (1000, True)}
+    assert (clamp_interval_ms(1), clamp_interval_ms(10**6)) == (250, 60_000)
+
+
+def test_queries_have_matching_names():
+    import __spark_entry__ as entry
+
+    queries, sql = entry.queries(), entry.oracle_sql()
+    assert len(queries) > 100 and set(sql) <= set(queries)

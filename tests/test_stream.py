@@ -57,3 +57,22 @@ def test_native_windows(spark, tmp_path):
     assert [(r.template_id, r["count"]) for r in counts.collect()] == [(1, 2), (2, 1)]
     spans = run(presence_sessions(stream(), ["hostname"]), "presence").collect()
     assert [r.sightings for r in spans] == [3]
+
+
+def test_streamed_window_entropy(spark, tmp_path):
+    from vigilframe.operators.signals import sliding_window_stats_bucketed
+    from vigilframe.streaming.windows import publish_snapshots, sliding_counts
+
+    rows = [("h", i % 3, i) for i in range(40)] + [("h", 9, 500)]
+    df = spark.createDataFrame(rows, "hostname string, template_id int, s bigint").withColumn("ts", F.timestamp_seconds("s"))
+    src = str(tmp_path / "in")
+    df.coalesce(1).write.parquet(src)
+    stream = lambda: spark.readStream.schema(df.schema).parquet(src)
+    q = sliding_counts(stream()).writeStream.format("memory").queryName("entropy_w").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = sliding_window_stats_bucketed(df).where("window_end <= timestamp_seconds(440)")
+    key = lambda r: (r.window_start, r.win_events, r.win_distinct, round(r.win_entropy, 9))
+    assert {key(r) for r in spark.table("entropy_w").collect()} == {key(r) for r in want.collect()}
+    p = publish_snapshots(stream(), str(tmp_path / "snap"), str(tmp_path / "cp"), availableNow=True)
+    p.awaitTermination()
+    assert [r.events for r in spark.read.parquet(str(tmp_path / "snap")).collect()] == [41]

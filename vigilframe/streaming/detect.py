@@ -51,9 +51,16 @@ def _load(spark: SparkSession, path: str, epoch: int, name: str) -> DataFrame |
         return None  # first epoch of a fresh state folder
 
 
-def _merge_registry(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    if old is None:
-        return new
+def _merge_registry(old: DataFrame | None, new: DataFrame, max_templates: int) -> DataFrame:
+    """Clusters after this epoch; above the capacity those seen last are kept."""
+    merged = new if old is None else _joined_registry(old, new)
+    kept = top_n_per_group(
+        merged, ["hostname"], [F.col("last_seen_us").desc(), F.col("order")], max_templates, ["template_id"]
+    )
+    return kept.drop("rank")
+
+
+def _joined_registry(old: DataFrame, new: DataFrame) -> DataFrame:
     o = old.select("hostname", "template_id", *[F.col(c).alias(f"_o_{c}") for c in ("order", "tokens", "first_seen_us", "last_seen_us", "count")])
     top = old.groupBy("hostname").agg((F.max("order") + 1).alias("_next"))
     both = o.join(new, ["hostname", "template_id"], "full_outer").join(top, "hostname", "left")
@@ -144,8 +151,8 @@ def process_epoch(
         "tail": _tail(seen.drop("_new"), cfg),
         "entropy": _last_entropies(points, cfg),
         "hosts": hosts,
-        "registry": _merge_registry(old["registry"], template_registry(tev)),
-        "alerts": _alert_state(leveled, folded, old["alerts"]),
+        "registry": _merge_registry(old["registry"], template_registry(tev), cfg.max_templates),
+        "alerts": _drop_idle(_alert_state(leveled, folded, old["alerts"]), kept, cfg),
     }
     for name, df in state.items():
         df.write.mode("overwrite").parquet(f"{path}/state/epoch={epoch}/{name}")
@@ -202,6 +209,18 @@ def _alert_state(leveled: DataFrame, folded: DataFrame, old: DataFrame | None) -
     )
 
 
+def _drop_idle(state: DataFrame, kept: DataFrame, cfg: AnalysisConfig) -> DataFrame:
+    """Forget templates whose state no longer matters: normal level, nothing held back, and the
+    cooldown over.  The state stays as small as the set of templates in trouble."""
+    now = kept.groupBy("hostname").agg(F.max("ts_us").alias("_now"))
+    idle = (
+        (F.col("level") == 0)
+        & (F.col("suppressed") == 0)
+        & (F.col("last_ts").isNull() | (F.col("last_ts") <= F.col("_now") - cfg.cooldown_us))
+    )
+    return state.join(now, "hostname", "left").where(~F.coalesce(idle, F.lit(False))).drop("_now")
+
+
 def stream_detect(
     events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, **options
 ):
