@@ -58,27 +58,36 @@ def with_chunks(
     sub1 = _below(F.col("__cuts1"), F.col("__pos"))
     sub2 = _below(F.col("__cuts2"), F.col("__pos"))
 
+    # The cut points are written down: they are small, and every use of the chunks reads them.
     rows = slotted.select(*dict.fromkeys(cols)).join(F.broadcast(hot), slot_key).withColumn("__pos", pos)
-    cuts1 = rows.groupBy(*slot_key).agg(
-        _quantiles("__pos").alias("__cuts1"), F.first("__s0").alias("__s0"), F.first("__s1").alias("__s1")
+    cuts1 = stage(
+        rows.groupBy(*slot_key).agg(
+            _quantiles("__pos").alias("__cuts1"), F.first("__s0").alias("__s0"), F.first("__s1").alias("__s1")
+        ),
+        "cuts",
     )
     pieces = (
         rows.drop("__s0", "__s1").join(F.broadcast(cuts1), slot_key).withColumn("__sub1", sub1)
         .select(*slot_key, "__sub1", "__pos")
     )
     piece_key = [*slot_key, "__sub1"]
-    large = pieces.groupBy(*piece_key).count().where(F.col("count") > target_rows).drop("count")
-    cuts2 = (
-        pieces.join(F.broadcast(large), piece_key).groupBy(*piece_key).agg(_quantiles("__pos").alias("__cuts2"))
-    )
-    return (
+    large = stage(pieces.groupBy(*piece_key).count().where(F.col("count") > target_rows).drop("count"), "large")
+    out = (
         slotted.join(F.broadcast(cuts1), slot_key, "left")
         .withColumn("__pos", F.when(F.col("__cuts1").isNotNull(), pos))
         .withColumn("__sub1", sub1)
-        .join(F.broadcast(cuts2), piece_key, "left")
-        .withColumn(CHUNK, (F.col("__slot") * 64 + F.col("__sub1")) * 64 + sub2)
-        .drop("__slot", "__s0", "__s1", "__cuts1", "__cuts2", "__sub1", "__pos", "__zero", "__at")
     )
+    if large.isEmpty():
+        out = out.withColumn(CHUNK, (F.col("__slot") * 64 + F.col("__sub1")) * 64)
+    else:
+        cuts2 = stage(
+            pieces.join(F.broadcast(large), piece_key).groupBy(*piece_key).agg(_quantiles("__pos").alias("__cuts2")),
+            "cuts",
+        )
+        out = out.join(F.broadcast(cuts2), piece_key, "left").withColumn(
+            CHUNK, (F.col("__slot") * 64 + F.col("__sub1")) * 64 + sub2
+        )
+    return out.drop("__slot", "__s0", "__s1", "__cuts1", "__cuts2", "__sub1", "__pos", "__zero", "__at")
 
 
 def _position(ts: str, seq: str, slot_us: int, at_end: str | None) -> Column:

@@ -10,6 +10,7 @@ from vigilframe.functions import (
     bucket_of,
     count_scale_floor,
     entropy_from_sums,
+    let,
     mad,
     median,
     median_sorted,
@@ -23,6 +24,7 @@ from vigilframe.operators.ordered import (
     carry_in,
     ensure_chunks,
     prefix_sums,
+    stage,
     with_chunks,
 )
 
@@ -66,7 +68,7 @@ def sliding_window_stats(
             (F.col("ts_us") + window_us).alias("t"), F.lit(2).alias("kind"), F.lit(0).cast("bigint").alias("pos")
         )
     else:
-        base = _with_capacity_exit(base, window_us, max_events, slot_us, target_rows)
+        base = stage(_with_capacity_exit(base, window_us, max_events, slot_us, target_rows), "exits")
         leaves = F.col("_exit")
 
     adds = base.select(
@@ -276,16 +278,21 @@ def _zero_padded_history(
         .where(idx == F.col("_st"))
         .join(begin, host)
         .withColumn("_len", F.least(F.lit(history), F.col("bucket") - F.col("_start")).cast("int"))
-        .withColumn(
-            "_h",
-            F.concat(
-                F.array_repeat(F.lit(0.0), F.greatest(F.col("_len") - F.size("_nz"), F.lit(0))),
-                F.array_sort("_nz"),
-            ),
+    )
+    zeros = F.array_repeat(F.lit(0.0), F.greatest(F.col("_len") - F.size("_nz"), F.lit(0)))
+
+    def med_mad(h: Column) -> Column:
+        return let(
+            median_sorted(h), lambda m: F.struct(m.alias("med"), mad(h, m).alias("mad"))
         )
-        .withColumn("_med", median_sorted(F.col("_h")))
+
+    # More zeros than counts: median and MAD are zero, nothing needs sorting.
+    both = F.when(
+        F.size("_nz") * 2 < F.col("_len"), F.struct(F.lit(0.0).alias("med"), F.lit(0.0).alias("mad"))
+    ).otherwise(let(F.concat(zeros, F.array_sort("_nz")), med_mad))
+    return hist.withColumn("_b", both).select(
+        *keys, "bucket", F.col("_b.med").alias("_med"), F.col("_b.mad").alias("_mad")
     )
-    return hist.select(*keys, "bucket", "_med", mad(F.col("_h"), F.col("_med")).alias("_mad"))
 
 
 def entropy_history(windowed: DataFrame, bucket_us: int = 5_000_000, history: int = 60) -> DataFrame:
