@@ -1,4 +1,4 @@
 """All queries of the training-data operators, by name, and their SQL."""
 
-from vigilframe.llm import decontaminate, mixing, quality, token_counts, token_output  # noqa: F401  (register their queries)
+from vigilframe.llm import decontaminate, jaccard_join, mixing, quality, token_counts, token_output  # noqa: F401  (register their queries)
 from vigilframe.llm.common import QUERIES, SQL  # noqa: F401
