@@ -64,7 +64,7 @@ def mix_sources(
     """
     added = ("size", "source_size", "target", "copies")
     keep = [c for c in docs.columns if c.lower() not in added]
-    key, band, slot = (free_name(docs, c) for c in ("key", "band", "slot"))
+    key, band, slot, mix, begin = (free_name(docs, c) for c in ("key", "band", "slot", "mix", "begin"))
     sized = (
         docs.withColumn("size", n_words(F.col("text")) if size is None else size)
         .withColumn(key, source_key(F.col("source")))
@@ -97,17 +97,17 @@ def mix_sources(
         .join(targets, "key")
         .select(
             F.col("key").alias(key), F.col("band").alias(band), F.col("slot").alias(slot), "source_size", "target",
-            F.struct("each", "offset", "ahead", "cut").alias("_mix"),
+            F.struct("each", "offset", "ahead", "cut").alias(mix),
         )
     )
-    within = Window.partitionBy(key, band, "_mix.cut").orderBy("size", "doc_id")
-    each, offset = F.col("_mix.each"), F.col("_mix.offset")
-    start = (F.col("_mix.ahead") + F.row_number().over(within) - 1) * each + offset
+    within = Window.partitionBy(key, band, f"{mix}.cut").orderBy("size", "doc_id")
+    each, offset = F.col(f"{mix}.each"), F.col(f"{mix}.offset")
+    start = (F.col(f"{mix}.ahead") + F.row_number().over(within) - 1) * each + offset
     boundaries = lambda x: F.call_function("div", x, F.lit(UNIT).cast("bigint"))
     return (
         sized.join(chunks, [key, band, slot])
-        .withColumn("_start", start)
-        .withColumn("copies", boundaries(F.col("_start") + each) - boundaries(F.col("_start")))
+        .withColumn(begin, start)
+        .withColumn("copies", boundaries(F.col(begin) + each) - boundaries(F.col(begin)))
         .select(*keep, *added)
     )
 
@@ -124,8 +124,10 @@ def cycle_weights(values: tuple[int, ...] = (3, 1, 2)):
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it has copies, with the columns of ``docs``."""
-    out = mix_sources(docs, cycle_weights(), **options)
-    return out.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    packed = docs.select(F.struct("*").alias("row"), "doc_id", "text", "source")
+    out = mix_sources(packed, cycle_weights(), **options)
+    times = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("time")
+    return out.select("row", times).select("row.*")
 
 
 @query(
