@@ -103,7 +103,7 @@ def scan_documents(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
     starts = F.concat(F.array("open"), F.transform("ends", lambda e: e + 1))
     return (
         carried.select("shard", "seen", "open", "names", ends.alias("ends"))
-        .select("shard", "seen", F.explode(F.arrays_zip("ends", starts.alias("starts"), F.sequence(F.lit(0), F.size("ends")).alias("i"), "names")).alias("d"))
+        .select("shard", "seen", F.explode(F.arrays_zip("ends", starts.alias("starts"), F.sequence(F.lit(0), F.size("ends")).alias("i"), F.coalesce("names", F.array().cast("array<bigint>")).alias("names"))).alias("d"))
         .where(F.col("d.ends").isNotNull())
         .select(
             "shard", (F.col("seen") + F.col("d.i")).alias("place"), F.col("d.names").alias("doc_id"),
