@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vigilframe.llm.common import query, stage, table
+from vigilframe.llm.common import query, small_batches, stage, table
 from vigilframe.llm.shingles import _powers, mix
 from vigilframe.llm.suffixes import repeated_starts
 
@@ -259,6 +259,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
     repeats with a suffix array.  Groups of ``large_group`` pieces or more are not brought together: their
     strings are counted one by one by two hashes.
     """
+    with small_batches(docs.sparkSession):
+        return _remove_repeats(docs, length, gram, large_group)
+
+
+def _remove_repeats(docs: DataFrame, length: int, gram: int, large_group: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("key", F.xxhash64("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -306,10 +311,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
         lambda m: F.struct(m["at"].alias("a"), (m["at"] + m["n"] + (length - 1)).alias("b")),
     )
     nothing = F.array().cast("array<struct<a:bigint,b:bigint>>")
-    cut = (
+    cut = stage(
         touched.join(spans, "key", "left")
         .select("doc_id", "text", F.concat(covered, F.coalesce("found", nothing)).alias("spans"))
-        .mapInArrow(_cut_texts, "doc_id bigint, n_removed bigint, n_spans bigint, kept binary")
+        .mapInArrow(_cut_texts, "doc_id bigint, n_removed bigint, n_spans bigint, kept binary"),
+        "cut-texts",
     )
     zero = F.lit(0).cast("bigint")
     whole = (
