@@ -96,8 +96,8 @@ def _documents(batches):
                 )
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): ids as little-endian unsigned 32-bit integers, start among all ids."""
+def _read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(documents with their place in their segment, number of ids before each segment)."""
     segments = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     sizes = segments.select("shard", "segment", "n_ids")
@@ -111,18 +111,26 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     found = segments.mapInArrow(
         _documents, "shard int, segment int, doc_id bigint, begin bigint, n_tokens bigint, ids binary"
     )
+    return found, base
+
+
+def _with_start(found: DataFrame, base: DataFrame, *columns: str) -> DataFrame:
     return found.join(base, ["shard", "segment"]).select(
-        "doc_id", (F.col("base") + F.col("begin")).alias("start"), "n_tokens", "ids"
+        "doc_id", (F.col("base") + F.col("begin")).alias("start"), "n_tokens", *columns
     )
 
 
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids): ids as little-endian unsigned 32-bit integers, start among all ids."""
+    return _with_start(*_read(spark, path), "ids")
+
+
 def token_digests(docs: DataFrame, **options) -> DataFrame:
     """Write, read back and sum up: (doc_id, start, n_tokens, ids_crc32)."""
     path = new_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, **options)
-    return read_tokens(docs.sparkSession, path).select(
-        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
-    )
+    found, base = _read(docs.sparkSession, path)
+    return _with_start(found.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), base, "ids_crc32")
 
 
 @query("op9_token_output")

@@ -21,6 +21,10 @@ CACHE_PIECES = 300_000
 BATCH_TEXTS, BATCH_CHARS = 4000, 12_000_000
 #: A space between two whitespace characters (or before the end) may join tokens across it.
 _JOINED = re.compile(r"\s (?:\s|$)")
+#: A full stop or comma behind a letter, and a letter behind its line feed, are parts of their own to the
+#: tokenizer: they become pieces of their own, marked as not following a space.
+_MARK = "\x01"
+_CUTS = [(r"(\pL)([.,])( |\n|$)", "\\1 \x01\\2\\3"), (r"\x01([.,])\n(\pL)", "\x01\\1\n \x01\\2")]
 
 
 def _spread(codes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,9 +62,9 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode pieces that follow a space: many as one text, told apart where a token begins with a space."""
-        edges = [p for p in pieces if not p or p[0].isspace() or p[-1].isspace()]
-        self.pieces.update(zip(edges, self.whole([" " + p for p in edges])))
-        inner = [p for p in pieces if p and not (p[0].isspace() or p[-1].isspace())]
+        apart = [p for p in pieces if not p or p[0] == _MARK or p[0].isspace() or p[-1].isspace()]
+        self.pieces.update(zip(apart, self.whole([p[1:] if p[:1] == _MARK else " " + p for p in apart])))
+        inner = [p for p in pieces if p and not (p[0] == _MARK or p[0].isspace() or p[-1].isspace())]
         for at in range(0, len(inner), 2000):
             part = inner[at : at + 2000]
             raw = self.whole([" " + " ".join(part)])[0]
@@ -76,16 +80,19 @@ class Encoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         strings = texts.to_pylist()
         special = self.special.search if self.special else lambda t: None
-        odd = np.fromiter((bool(_JOINED.search(t) or special(t)) for t in strings), bool, len(strings))
+        odd = np.fromiter((bool(_JOINED.search(t) or _MARK in t or special(t)) for t in strings), bool, len(strings))
         if odd.any():
             texts = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts)
+        for pattern, by in _CUTS:
+            texts = pc.replace_substring_regex(texts, pattern, by)
         # What a text begins with does not follow a space; odd texts are nothing but such a beginning.
-        first = {t.split(" ", 1)[0] for t, o in zip(strings, odd) if not o}
-        known = dict(zip(first, self.whole(list(first))))
+        split = pc.split_pattern(texts, " ")
+        starts = split.values.take(pa.array(np.asarray(split.offsets)[:-1])).to_pylist()
+        first = list(set(starts))
+        known = dict(zip(first, self.whole([p.removeprefix(_MARK) for p in first])))
         rest = iter(self.whole([t for t, o in zip(strings, odd) if o]))
-        heads = [next(rest) if o else known[t.split(" ", 1)[0]] for t, o in zip(strings, odd)]
+        heads = [next(rest) if o else known[p] for p, o in zip(starts, odd)]
         del strings
-        split = pc.split_pattern(texts, " ")
         offsets = np.asarray(split.offsets)
         coded = split.values.dictionary_encode()
         codes = np.asarray(coded.indices).astype(np.int64)
