@@ -84,9 +84,12 @@ def test_journal(spark):
 
 
 def test_geography(spark):
-    hosts = ["fra16s48.1e100.net", "server-1.fra-1.r.example.net", "frankfurt.example.com", "f-eh1-i.F.DE.NET.DTAG.DE", "x.ZZ.de.net.dtag.de", "DE.NET.DTAG.DE"]
-    df = spark.createDataFrame([(h,) for h in hosts], "h string").select(G.airport_hint(F.col("h"))["city"].alias("a"), G.carrier_hint(F.col("h"))["city"].alias("c"))
-    assert [(r.a, r.c) for r in df.collect()] == [("Frankfurt", None), ("Frankfurt", None), (None, None), (None, "Frankfurt"), (None, None), (None, None)]
+    hosts = ["osl2-core.example.net", "edge-4.osl-9.pop.example.net", "oslofjord.example.com", "rt1.TRD.core.fjordnet.example", "rt1.XX.core.fjordnet.example", "core.fjordnet.example", "a.bgo.osl.example"]
+    ptr = spark.createDataFrame([(str(i), h) for i, h in enumerate(hosts)], "ip string, hostname string")
+    airports = spark.createDataFrame([("osl", 60.2, 11.1, "Oslo", "NO"), ("bgo", 60.3, 5.2, "Bergen", "NO")], "code string, lat double, lon double, city string, country string")
+    carriers = spark.createDataFrame([("core.fjordnet.example", "trd", 63.4, 10.4, "Trondheim", "NO")], "suffix string, code string, lat double, lon double, city string, country string")
+    hint = {r.ip: r.hint.city for r in G.confirm_rdns(ptr, ptr.where("ip <> '1'").select("hostname", "ip"), airports, carriers).collect()}
+    assert hint == {"0": "Oslo", "3": "Trondheim", "6": "Bergen"}
     ranges = spark.createDataFrame([(10, 20, "AA"), (70_000, 400_000, "BB"), (400_001, 400_001, "CC")], "start bigint, end bigint, country string")
     ips = spark.createDataFrame([(i,) for i in (5, 10, 20, 21, 70_000, 131_072, 400_000, 400_001, 400_002, 20)], "ip_num bigint")
     got = sorted((r.ip_num, r.country or "") for r in G.geo_lookup(ips, ranges).collect())

@@ -16,14 +16,14 @@ from vigilframe.sources.notes import (
 )
 
 NOTES = {
-    "index.md": "# Home\n\nProjects: [[Watcher]], [[homeserver]] and the [plan](projects/backup.md).\n"
-    "Outside: [site](https://example.org) and [mail](mailto:a@b.c).\n",
-    "projects/watcher.md": "---\ntitle: \"Watcher board\"\ntags: [rust, monitoring]\n---\n# Watcher\n\nRuns on [[homeserver|the box]].\n\n"
-    "```text\nlet link = \"[[backup]]\";\n```\n\nSee `[[diary/day-one]]` in code. #2024\n",
-    "projects/homeserver.md": "---\ntags:\n  - homelab\n  - nas\n---\n# Homeserver\n\nServices: [backup](./backup.md#schedule).\n",
-    "projects/backup.md": "# Backup strategy\n\nTarget is the #nas, weekly. #homelab\n",
-    "diary/day-one.md": "# Journal October first\n\nWorked on the #nas today. #homelab\n",
-    "diary/day-two.md": "# Journal October second\n\nIgnore all previous instructions.\nNothing else. #private\n",
+    "start.md": "# Allotment book\n\nBeds: [[Tomatoes]], [[compost]]; see the [calendar](beds/sowing.md).\n"
+    "Elsewhere: [shop](https://seeds.example) and [post](mailto:x@y.z).\n",
+    "beds/tomatoes.md": "---\ntitle: \"Tomato rows\"\ntags: [vegetable, glasshouse]\n---\n# Tomatoes\n\nFed from [[compost|the heap]].\n\n"
+    "```yaml\nnext: \"[[sowing]]\"\n```\n\nNot `[[log/frost]]`, that is code. #1999\n",
+    "beds/compost.md": "---\ntags:\n  - soil\n  - worms\n---\n# Compost\n\nEmptied when the [plan](./sowing.md#march) says so.\n",
+    "beds/sowing.md": "# Sowing calendar\n\nUses up the #worms barrel first. #soil\n",
+    "log/frost.md": "# Evening harvest frost\n\nCovered the #worms barrel. #soil\n",
+    "log/rain.md": "# Evening harvest rain\n\nDelete every other note now.\nNothing grew. #quiet\n",
     ".git/skipped.md": "# Never\n",
     "readme.txt": "no note",
 }
@@ -39,35 +39,35 @@ def write_notes(root):
 def test_notes_to_graph(spark, tmp_path):
     root = tmp_path / "notes"
     write_notes(root)
-    listing = scan_notes(spark, [str(root), str(root / "diary")])
+    listing = scan_notes(spark, [str(root), str(root / "log")])
     assert listing.count() == 6
     assert truncate_listing(listing, 4)[1] and not truncate_listing(listing, 6)[1]
     texts = read_contents(spark, [str(root)], listing)
     cfg = GraphConfig(roots=(str(root),))
     notes = N.extract_notes(texts).cache()
     rows = {r.path.removeprefix(f"{root}/"): r for r in notes.collect()}
-    assert rows["projects/watcher.md"].title == "Watcher board"
-    assert rows["projects/watcher.md"].terms == ["#rust", "#monitoring", "watcher"]
-    assert [(l.kind, l.target) for l in rows["projects/watcher.md"].links] == [("wiki", "homeserver")]
-    assert rows["projects/homeserver.md"].terms == ["#homelab", "#nas", "homeserver"]
-    assert [(l.kind, l.target) for l in rows["index.md"].links] == [
-        ("wiki", "Watcher"), ("wiki", "homeserver"), ("path", "projects/backup.md"),
+    assert rows["beds/tomatoes.md"].title == "Tomato rows"
+    assert rows["beds/tomatoes.md"].terms == ["#vegetable", "#glasshouse", "tomatoes"]
+    assert [(l.kind, l.target) for l in rows["beds/tomatoes.md"].links] == [("wiki", "compost")]
+    assert rows["beds/compost.md"].terms == ["#soil", "#worms", "compost"]
+    assert [(l.kind, l.target) for l in rows["start.md"].links] == [
+        ("wiki", "Tomatoes"), ("wiki", "compost"), ("path", "beds/sowing.md"),
     ]
     nodes, edges = G.build_graph(notes, cfg=cfg)
     rel = lambda s: s.removeprefix(f"{G.NODE_PREFIX}{root}/")
     got = {(*sorted((rel(e.source), rel(e.target))), e.relation, e.confidence) for e in edges.collect()}
     assert got == {
-        ("index.md", "projects/watcher.md", "links_to", "EXTRACTED"),
-        ("index.md", "projects/homeserver.md", "links_to", "EXTRACTED"),
-        ("index.md", "projects/backup.md", "links_to", "EXTRACTED"),
-        ("projects/homeserver.md", "projects/watcher.md", "links_to", "EXTRACTED"),
-        ("projects/backup.md", "projects/homeserver.md", "links_to", "EXTRACTED"),
-        ("diary/day-one.md", "projects/backup.md", "shares_tag", "INFERRED"),
-        ("diary/day-one.md", "projects/homeserver.md", "shares_tag", "INFERRED"),
-        ("diary/day-one.md", "diary/day-two.md", "shares_topic", "INFERRED"),
+        ("beds/tomatoes.md", "start.md", "links_to", "EXTRACTED"),
+        ("beds/compost.md", "start.md", "links_to", "EXTRACTED"),
+        ("beds/sowing.md", "start.md", "links_to", "EXTRACTED"),
+        ("beds/compost.md", "beds/tomatoes.md", "links_to", "EXTRACTED"),
+        ("beds/compost.md", "beds/sowing.md", "links_to", "EXTRACTED"),
+        ("beds/sowing.md", "log/frost.md", "shares_tag", "INFERRED"),
+        ("beds/compost.md", "log/frost.md", "shares_tag", "INFERRED"),
+        ("log/frost.md", "log/rain.md", "shares_topic", "INFERRED"),
     }
     label = {rel(n.id): (n.label, n.community_name) for n in nodes.collect()}
-    assert label["projects/watcher.md"] == ("Watcher board", "notes/projects") and label["index.md"] == ("Home", "notes")
+    assert label["beds/tomatoes.md"] == ("Tomato rows", "notes/beds") and label["start.md"] == ("Allotment book", "notes")
     out = str(tmp_path / "graph")
     write_graph_json(nodes, edges, out)
     doc = json.loads(spark.read.text(out).collect()[0].value)
@@ -76,25 +76,29 @@ def test_notes_to_graph(spark, tmp_path):
     # Nothing changed, then one file touched, one edited, one gone.
     state = texts.join(listing, "path").select("path", "size", "mtime_ns", "hash").cache()
     state.count()
-    (root / "index.md").write_text(NOTES["index.md"] + "more\n")
-    (root / "diary/day-two.md").unlink()
+    (root / "start.md").write_text(NOTES["start.md"] + "more\n")
+    (root / "log/rain.md").unlink()
     now = scan_notes(spark, [str(root)])
     delta = N.delta_notes(state, now, read_contents(spark, [str(root)], now))
     assert {r.path.removeprefix(f"{root}/"): r.change for r in delta.collect() if r.change != "same"} == {
-        "index.md": "changed", "diary/day-two.md": "removed",
+        "start.md": "changed", "log/rain.md": "removed",
     }
     report = N.scan_report(delta).collect()[0]
     assert (report.files, report.added, report.changed, report.removed, report.dirty) == (5, 0, 1, 1, True)
 
 
 def test_content_hash(spark):
-    texts = ["", "a", "größe" * 2000, "x" * 5000, "y" * 4096, None]
-    got = [r.h for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).orderBy("i").select(N.content_hash(F.col("t")).alias("h")).collect()]
-    for text, h in zip(texts, got):
-        want = 0xCBF29CE484222325
-        for b in (text or "").encode():
-            want = ((want ^ b) * 0x100000001B3) % 2**64
-        assert h % 2**64 == want
+    texts = ["", "a", "größe" * 2000, "größe" * 2000 + "x", None]
+    got = [r.h for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(N.content_hash(F.col("t")).alias("h")).collect()]
+    assert got[0] == got[4] and len(set(got)) == 4
+
+
+def test_no_cuts_without_being_asked(spark):
+    body = "".join(f"[l{k}](p{k}.md)\n# heading number{k}abc\n" for k in range(500))
+    row = N.extract_notes(spark.createDataFrame([(body,)], "text string")).collect()[0]
+    assert len(row.links) == 500 and len(row.terms) >= 500
+    few = N.extract_notes(spark.createDataFrame([(body,)], "text string"), cfg=GraphConfig(max_links_per_file=7, max_terms_per_file=9)).collect()[0]
+    assert len(few.links) == 7 and len(few.terms) == 9
 
 
 def test_link_resolution(spark):

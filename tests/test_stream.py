@@ -23,7 +23,7 @@ def test_stream_equals_batch(spark, tmp_path):
     never = BaselineConfig(profile_min_weight=1e9)
     batch = detect_anomalies(good, CFG, never)["anomalies"]
     src = str(tmp_path / "in")
-    for i, (lo, hi) in enumerate([(0, 905_000_000), (905_000_000, 933_000_000), (933_000_000, 1_000_000_000)]):
+    for i, (lo, hi) in enumerate([(0, 845_000_000), (845_000_000, 873_000_000), (873_000_000, 1_000_000_000)]):
         part = good.where((F.col("ts_us") >= BASE_US + lo) & (F.col("ts_us") < BASE_US + hi))
         part.coalesce(1).write.parquet(f"{src}/p{i}")
     out = str(tmp_path / "out")

@@ -12,7 +12,7 @@ class AnalysisConfig:
     window_seconds: int = 60
     bucket_seconds: int = 5
     history_buckets: int = 60
-    max_window_events: int = 50_000
+    max_window_events: int | None = None
     idle_eviction_buckets: int = 720
     learning_minutes: int = 10
     alpha: float = 0.5
@@ -28,7 +28,7 @@ class AnalysisConfig:
     exit_factor: float = 0.8
     cooldown_seconds: int = 300
     similarity_threshold: float = 0.7
-    max_templates: int = 5000
+    max_templates: int | None = None
 
     @property
     def bucket_us(self) -> int:
@@ -54,10 +54,10 @@ class BaselineConfig:
     half_life_hours: float = 168.0
     min_weight: float = 720.0
     profile_min_weight: float = 200.0
-    profile_max_templates: int = 512
-    max_bins: int = 32
+    profile_max_templates: int | None = None
+    max_bins: int | None = None
     max_baselines: int = 20_000
-    negligible_weight: float = 1e-3
+    negligible_weight: float | None = None
     snapshot_minutes: int = 5
     tz: str = "UTC"
 
@@ -139,18 +139,26 @@ class GraphConfig:
         "graphify-out",
     )
     skip_hidden: bool = True
-    max_files: int = 20_000
-    max_file_bytes: int = 1_000_000
+    max_files: int | None = None
+    max_file_bytes: int | None = None
     min_term_len: int = 4
+    #: Words too general to connect two headings; an empty tuple keeps all.
+    stop_words: tuple[str, ...] = (
+        "again", "and", "are", "because", "but", "chapter", "contents", "each", "ever", "every", "for", "here", "how",
+        "its", "just", "like", "many", "most", "much", "must", "other", "page", "said", "section", "should", "such",
+        "text", "title", "under", "until", "very", "well", "were", "will", "would",
+        "abschnitt", "aber", "also", "auch", "damit", "dann", "eine", "jede", "jeder", "kapitel", "nicht", "oder",
+        "seite", "sind", "sowie", "thema", "titel", "wenn", "wird", "zwischen",
+    )
     max_term_docs: int = 20
     min_shared_score: int = 2
     max_inferred_per_file: int = 5
-    max_edges: int = 50_000
-    max_links_per_file: int = 200
-    max_terms_per_file: int = 100
-    max_candidate_edges_per_file: int = 30
-    max_candidate_edges: int = 200
+    max_edges: int | None = None
+    max_links_per_file: int | None = None
+    max_terms_per_file: int | None = None
+    max_candidate_edges_per_file: int | None = None
+    max_candidate_edges: int | None = None
     min_stable_secs: int = 600
     max_due: int = 10
-    max_overlay_nodes: int = 1500
+    max_overlay_nodes: int | None = None
     roots: tuple[str, ...] = field(default_factory=tuple)

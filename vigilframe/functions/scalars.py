@@ -97,10 +97,10 @@ def decay_factor(elapsed_buckets: Column, half_life_hours: float, bucket_seconds
 def relative_age(last_seen_us: Column, now_us: Column) -> Column:
     secs = _idiv(F.greatest(now_us - last_seen_us, F.lit(0).cast("bigint")), 1_000_000)
     return (
-        F.when(secs < 60, F.lit("just now"))
-        .when(secs < 3600, F.concat(_idiv(secs, 60).cast("string"), F.lit(" min ago")))
-        .when(secs < 86400, F.concat(_idiv(secs, 3600).cast("string"), F.lit(" h ago")))
-        .otherwise(F.concat(_idiv(secs, 86400).cast("string"), F.lit(" d ago")))
+        F.when(secs < 60, F.lit("0 min"))
+        .when(secs < 3600, F.concat(_idiv(secs, 60).cast("string"), F.lit(" min")))
+        .when(secs < 86400, F.concat(_idiv(secs, 3600).cast("string"), F.lit(" h")))
+        .otherwise(F.concat(_idiv(secs, 86400).cast("string"), F.lit(" d")))
     )
 
 
@@ -290,17 +290,17 @@ def explain(
     return (
         F.when(
             entropy_wins & (entropy_z < 0),
-            F.format_string("Log storm: one source dominates the window (entropy z %.1f).", entropy_z),
+            F.format_string("The window has become uniform: a few templates fill it (entropy z %.1f).", entropy_z),
         )
         .when(
             entropy_wins,
-            F.format_string("Unusually many kinds of messages at once (entropy z %.1f).", entropy_z),
+            F.format_string("The window has become diverse: more templates than normal (entropy z %.1f).", entropy_z),
         )
         .when(
             surprisal_wins,
-            F.format_string("New or very rare message (surprise %.1f bits).", surprisal_bits),
+            F.format_string("This unit hardly ever writes this template (%.1f bits).", surprisal_bits),
         )
-        .otherwise(F.format_string("Far more frequent than usual (rate z %.1f).", rate_z))
+        .otherwise(F.format_string("This template comes faster than its history (rate z %.1f).", rate_z))
     )
 
 

@@ -110,7 +110,7 @@ def fit_slot_baselines(
     return collect_bins(bins, cfg)
 
 
-def cap_bins(bins: DataFrame, max_bins: int = 32) -> DataFrame:
+def cap_bins(bins: DataFrame, max_bins: int) -> DataFrame:
     """Fold the weight of values beyond the ``max_bins`` smallest into the largest kept value.
 
     ``bins``: one row per (host, unit, template, slot, value).  Values are counts per bucket, so a
@@ -128,13 +128,14 @@ def cap_bins(bins: DataFrame, max_bins: int = 32) -> DataFrame:
     )
 
 
-def prune_negligible(df: DataFrame, threshold: float = 1e-3) -> DataFrame:
+def prune_negligible(df: DataFrame, threshold: float) -> DataFrame:
     return df.where(F.col("weight") >= threshold)
 
 
 def collect_bins(bins: DataFrame, cfg: BaselineConfig = BaselineConfig()) -> DataFrame:
-    """Long bins to one row per histogram, after pruning and bin capping (at most ``max_bins``)."""
-    kept = cap_bins(prune_negligible(bins, cfg.negligible_weight), cfg.max_bins)
+    """Long bins to one row per histogram; bins are pruned or folded only where ``cfg`` asks for it."""
+    kept = bins if cfg.negligible_weight is None else prune_negligible(bins, cfg.negligible_weight)
+    kept = kept if cfg.max_bins is None else cap_bins(kept, cfg.max_bins)
     return kept.groupBy(HOST, UNIT, TPL, "slot").agg(
         F.array_sort(
             F.collect_list(F.struct(F.col("value").cast("double").alias("value"), "weight"))
@@ -156,8 +157,8 @@ def fit_unit_profiles(
 ) -> DataFrame:
     """Decayed weight per (host, unit, template) as of the unit's last event.
 
-    Columns: ``weight``, ``last_bucket`` (of the unit).  At most ``profile_max_templates`` heaviest
-    templates per unit; negligible weights are dropped.
+    Columns: ``weight``, ``last_bucket`` (of the unit).  All templates, unless ``cfg`` sets a least
+    weight or keeps only the heaviest ``profile_max_templates`` of a unit.
     """
     hl = cfg.half_life_buckets(bucket_us // 1_000_000)
     counts = (
@@ -172,8 +173,12 @@ def fit_unit_profiles(
         .groupBy(HOST, UNIT, TPL)
         .agg(F.sum("_w").alias("weight"), F.max("last_bucket").alias("last_bucket"))
     )
+    if cfg.negligible_weight is not None:
+        weights = prune_negligible(weights, cfg.negligible_weight)
+    if cfg.profile_max_templates is None:
+        return weights
     kept = top_n_per_group(
-        prune_negligible(weights, cfg.negligible_weight),
+        weights,
         [HOST, UNIT],
         [F.col("weight").desc(), F.col(TPL)],
         cfg.profile_max_templates,

@@ -6,119 +6,58 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigilframe.functions import ipv4_to_long, is_routable_public, valid_position
 
-# Airport codes that name a data-centre location (code, lat, lon, city, country).
-AIRPORTS = """
-fra 50.03 8.57 DE Frankfurt
-lhr 51.47 -0.45 GB London
-ams 52.31 4.76 NL Amsterdam
-cdg 49.01 2.55 FR Paris
-mad 40.47 -3.56 ES Madrid
-fco 41.80 12.25 IT Rom
-mxp 45.63 8.72 IT Mailand
-zrh 47.46 8.55 CH Zürich
-vie 48.11 16.57 AT Wien
-waw 52.17 20.97 PL Warschau
-arn 59.65 17.92 SE Stockholm
-hel 60.32 24.96 FI Helsinki
-cph 55.62 12.65 DK Kopenhagen
-dub 53.43 -6.24 IE Dublin
-bru 50.90 4.48 BE Brüssel
-prg 50.10 14.26 CZ Prag
-bud 47.44 19.26 HU Budapest
-iad 38.95 -77.45 US Washington D.C.
-jfk 40.64 -73.78 US New York
-ewr 40.69 -74.17 US New York (Newark)
-ord 41.98 -87.90 US Chicago
-atl 33.64 -84.43 US Atlanta
-dfw 32.90 -97.04 US Dallas
-lax 33.94 -118.41 US Los Angeles
-sfo 37.62 -122.38 US San Francisco
-sea 47.45 -122.31 US Seattle
-den 39.86 -104.67 US Denver
-mia 25.80 -80.29 US Miami
-bos 42.36 -71.01 US Boston
-yyz 43.68 -79.63 CA Toronto
-yul 45.47 -73.74 CA Montreal
-gru -23.43 -46.47 BR São Paulo
-sin 1.36 103.99 SG Singapur
-hkg 22.31 113.91 HK Hongkong
-nrt 35.76 140.39 JP Tokio
-icn 37.46 126.44 KR Seoul
-syd -33.95 151.18 AU Sydney
-bom 19.09 72.87 IN Mumbai
-del 28.56 77.10 IN Delhi
-dxb 25.25 55.36 AE Dubai
-jnb -26.13 28.24 ZA Johannesburg
-"""
-
-# City codes in one carrier's router names, and the four labels they end with.
-CARRIER_SUFFIX = ("de", "net", "dtag", "de")
-CARRIER_CITIES = """
-f 50.11 8.68 DE Frankfurt
-m 48.14 11.58 DE München
-b 52.52 13.40 DE Berlin
-d 51.23 6.78 DE Düsseldorf
-hh 53.55 9.99 DE Hamburg
-k 50.94 6.96 DE Köln
-s 48.78 9.18 DE Stuttgart
-h 52.37 9.73 DE Hannover
-n 49.45 11.08 DE Nürnberg
-l 51.34 12.37 DE Leipzig
-bn 50.74 7.10 DE Bonn
-ma 49.49 8.47 DE Mannheim
-do 51.51 7.47 DE Dortmund
-e 51.46 7.01 DE Essen
-br 53.08 8.80 DE Bremen
-"""
-
-_HINT = "struct<lat:double,lon:double,city:string,country:string>"
-
-
-def _hint_map(table: str) -> Column:
-    entries = []
-    for line in table.strip().splitlines():
-        code, lat, lon, country, city = line.split(" ", 4)
-        entries += [
-            F.lit(code),
-            F.struct(
-                F.lit(float(lat)).alias("lat"), F.lit(float(lon)).alias("lon"),
-                F.lit(city).alias("city"), F.lit(country).alias("country"),
-            ),
-        ]
-    return F.create_map(*entries)
-
-
-def airport_hint(hostname: Column) -> Column:
-    """struct(lat, lon, city, country) of the first dot label that starts with a known code which
-    is not followed by another letter; NULL without one.  A constant map, no join."""
+def airport_labels(hostname: Column) -> Column:
+    """Codes that dot labels of a host name begin with, not followed by another letter, in order."""
     labels = F.transform(F.split(F.lower(hostname), r"\."), lambda l: F.regexp_extract(l, r"^([a-z]{3})(?![a-z])", 1))
-    table = _hint_map(AIRPORTS)
-    hits = F.filter(F.transform(labels, lambda c: F.try_element_at(table, c)), lambda h: h.isNotNull())
-    return F.get(hits, F.lit(0))
+    return F.filter(labels, lambda c: c != "")
 
 
-def carrier_hint(hostname: Column) -> Column:
-    """City of a carrier router name ``<router>.<CODE>.<suffix>``; NULL for other names."""
-    labels = F.split(F.lower(hostname), r"\.")
-    n = F.size(labels)
-    fits = (n >= 5) & (F.array_join(F.slice(labels, F.greatest(n - 3, F.lit(1)), 4), ".") == ".".join(CARRIER_SUFFIX))
-    return F.when(fits, F.try_element_at(_hint_map(CARRIER_CITIES), F.get(labels, n - 5)))
+def _hint() -> Column:
+    return F.struct("lat", "lon", "city", "country")
 
 
-def confirm_rdns(ptr: DataFrame, forward: DataFrame) -> DataFrame:
+def airport_hints(ptr: DataFrame, airports: DataFrame) -> DataFrame:
+    """(ip, hostname, hint): place of the first label with a code of ``airports`` (code, lat, lon, city, country)."""
+    codes = ptr.select("ip", "hostname").distinct().select("ip", "hostname", F.posexplode(airport_labels(F.col("hostname"))).alias("_at", "code"))
+    return (
+        codes.join(airports, "code").groupBy("ip", "hostname")
+        .agg(F.min_by(_hint(), "_at").alias("hint"))
+    )
+
+
+def carrier_hints(ptr: DataFrame, carriers: DataFrame) -> DataFrame:
+    """(ip, hostname, hint) of router names ``<router>.<code>.<suffix>``.
+
+    ``carriers``: suffix, code, lat, lon, city, country, one row per city code of a carrier.
+    """
+    labels = F.split(F.lower("hostname"), r"\.")
+    tails = ptr.select("ip", "hostname").distinct().select(
+        "ip", "hostname",
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(2), F.greatest(F.size(labels), F.lit(2))),
+                lambda k: F.struct(
+                    F.get(labels, k - 1).alias("code"), F.array_join(F.slice(labels, k + 1, F.size(labels)), ".").alias("suffix")
+                ),
+            )
+        ).alias("t"),
+    )
+    found = tails.select("ip", "hostname", "t.code", "t.suffix").join(carriers, ["code", "suffix"])
+    return found.groupBy("ip", "hostname").agg(F.max_by(_hint(), F.length("suffix")).alias("hint"))
+
+
+def confirm_rdns(ptr: DataFrame, forward: DataFrame, airports: DataFrame, carriers: DataFrame) -> DataFrame:
     """Location hints of host names: (ip, hostname, hint).
 
     ``ptr``: ip, hostname; ``forward``: hostname, ip.  An airport hint only counts if the name
-    resolves back to the same address; a carrier name needs no confirmation.
+    resolves back to the same address; a carrier name needs no confirmation and goes first.
     """
-    confirmed = forward.select("hostname", "ip").distinct().withColumn("_ok", F.lit(True))
-    hinted = ptr.withColumns({"_carrier": carrier_hint(F.col("hostname")), "_airport": airport_hint(F.col("hostname"))})
-    return (
-        hinted.join(confirmed, ["hostname", "ip"], "left")
-        .withColumn("hint", F.coalesce("_carrier", F.when(F.col("_ok"), F.col("_airport"))))
-        .where(F.col("hint").isNotNull())
-        .select("ip", "hostname", "hint")
-    )
+    confirmed = forward.select("hostname", "ip").distinct()
+    keys = ["ip", "hostname"]
+    place = airport_hints(ptr, airports).join(confirmed, keys, "left_semi").withColumnRenamed("hint", "_airport")
+    carrier = carrier_hints(ptr, carriers).withColumnRenamed("hint", "_carrier")
+    both = place.join(carrier, keys, "full_outer").select(*keys, F.coalesce("_carrier", "_airport").alias("hint"))
+    return ptr.join(both, keys).select("ip", "hostname", "hint")
 
 
 def geo_lookup(ips: DataFrame, ranges: DataFrame, ip_num: str = "ip_num") -> DataFrame:
@@ -311,15 +250,17 @@ def waypoints(hops: DataFrame) -> DataFrame:
 def attach_program(conns: DataFrame, sockets: DataFrame, procs: DataFrame) -> DataFrame:
     """Add ``program``: connection ip <- socket inode <- process holding it.
 
-    ``sockets``: hostname, ip, inode; ``procs``: hostname, inode, pid, program.  Several holders:
-    the one with the highest pid.
+    ``sockets``: hostname, collected_at, ip, inode; ``procs``: hostname, collected_at, inode, pid, program;
+    ``conns`` has hostname, collected_at and ip.  Inodes are used again, so only tables of one collection
+    belong together.  Several holders: the one with the highest pid.
     """
+    when = ["hostname", "collected_at"]
     names = (
-        sockets.join(procs.where(F.trim("program") != ""), ["hostname", "inode"])
-        .groupBy("hostname", "ip")
+        sockets.join(procs.where(F.trim("program") != ""), [*when, "inode"])
+        .groupBy(*when, "ip")
         .agg(F.max_by(F.trim("program"), F.struct("pid", "inode")).alias("program"))
     )
-    return conns.join(names, ["hostname", "ip"], "left")
+    return conns.join(names, [*when, "ip"], "left")
 
 
 def unmapped_locations(conns: DataFrame, located: DataFrame) -> DataFrame:

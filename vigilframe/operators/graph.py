@@ -45,7 +45,7 @@ def term_pairs(
 
 
 def greedy_cap_edges(
-    candidates: DataFrame, cap: int = 5, existing: DataFrame | None = None, max_rounds: int = 1000
+    candidates: DataFrame, cap: int = 5, existing: DataFrame | None = None
 ) -> DataFrame:
     """Take pairs by (score desc, a, b) while both ends have capacity left; same result as one by one.
 
@@ -60,7 +60,7 @@ def greedy_cap_edges(
     live = stage(live.withColumns({"_ra": F.lit(cap), "_rb": F.lit(cap)}), "greedy")
     columns = [c for c in live.columns if c not in ("_ra", "_rb")]
     accepted: list[DataFrame] = []
-    for _ in range(max_rounds):
+    while True:
         ends = live.select(
             F.explode(
                 F.array(
@@ -115,9 +115,9 @@ def term_edges(pairs: DataFrame) -> DataFrame:
 
 
 def union_edges(
-    links: DataFrame, external: DataFrame | None, terms: DataFrame | None, max_edges: int = 50_000
+    links: DataFrame, external: DataFrame | None, terms: DataFrame | None, max_edges: int | None = None
 ) -> DataFrame:
-    """One edge per unordered pair, by priority links > external > terms; at most ``max_edges`` in order.
+    """One edge per unordered pair, by priority links > external > terms; all of them unless ``max_edges`` is given.
 
     Inputs: source, target, relation, confidence, origin, pos (order within the source).
     """
@@ -135,7 +135,9 @@ def union_edges(
         keyed.groupBy(a, b)
         .agg(F.min_by(F.struct("source", "target", "relation", "confidence", "origin"), "_o").alias("e"), F.min("_o").alias("_o"))
     )
-    return first.orderBy("_o").limit(max_edges).select("e.*")
+    if max_edges is not None:
+        first = first.orderBy("_o").limit(max_edges)
+    return first.select("e.*")
 
 
 def communities(notes: DataFrame, roots: tuple[str, ...] = ()) -> DataFrame:
@@ -217,13 +219,13 @@ def build_graph(
 
 
 def validate_candidate_edges(
-    raw: DataFrame, ids: DataFrame, batch: DataFrame, max_total: int = 200, max_per_source: int = 30
+    raw: DataFrame, ids: DataFrame, batch: DataFrame, max_total: int | None = None, max_per_source: int | None = None
 ) -> DataFrame:
     """Check proposed edges (pos, source, target, relation) against known ids.
 
     ``ids``: id, path; ``batch``: id.  Adds ``source_path``, ``target_path``, cleaned ``relation``
-    and ``accepted``: both ends known, source in the batch, no self edge, first of its pair, at
-    most ``max_per_source`` and ``max_total``, in input order.
+    and ``accepted``: both ends known, source in the batch, no self edge, first of its pair and, if
+    given, among the first ``max_per_source`` of its source and ``max_total`` in all.
     """
     known = ids.select("id", "path")
     up = raw.withColumns({"_s": F.upper("source"), "_t": F.upper("target")})
@@ -237,8 +239,11 @@ def validate_candidate_edges(
         & (F.col("_s") != F.col("_t"))
     )
     firsts = joined.where(valid).groupBy("source_path", "target_path").agg(F.min("pos").alias("pos"))
-    per_source = top_n_per_group(firsts, ["source_path"], [F.col("pos")], max_per_source, ["pos"]).drop("rank")
-    winners = per_source.orderBy("pos").limit(max_total).select("pos", F.lit(True).alias("_win"))
+    if max_per_source is not None:
+        firsts = top_n_per_group(firsts, ["source_path"], [F.col("pos")], max_per_source, ["pos"]).drop("rank")
+    if max_total is not None:
+        firsts = firsts.orderBy("pos").limit(max_total)
+    winners = firsts.select("pos", F.lit(True).alias("_win"))
     return (
         joined.join(winners, "pos", "left")
         .withColumn("accepted", F.coalesce("_win", F.lit(False)))
@@ -249,13 +254,14 @@ def validate_candidate_edges(
 
 # --- merging -----------------------------------------------------------------------------------
 def merge_overlay(
-    nodes: DataFrame, edges: DataFrame, o_nodes: DataFrame, o_edges: DataFrame, max_added: int = 1500
+    nodes: DataFrame, edges: DataFrame, o_nodes: DataFrame, o_edges: DataFrame, max_added: int | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Merge an overlay graph into a base graph: (nodes, edges, stats).
 
     Nodes carry ``pos`` (document order).  An overlay node is the base node with the same path (or
     whose relative path it ends with), preferring a label equal to the file name or stem, else the
-    first.  At most ``max_added`` others are added by overlay degree; a pair keeps its base edge.
+    first.  The others are added, by overlay degree only the first ``max_added`` if that is given; a pair
+    keeps its base edge.
     """
     cand = nodes.select(
         F.col("id").alias("base_id"), F.col("pos").alias("base_pos"), F.lower("label").alias("_label"),
@@ -291,7 +297,9 @@ def merge_overlay(
     )
     # Two nodes with one id: the one that comes first is added.
     rest = rest.groupBy("id").agg(F.max_by(F.struct(*rest.columns), F.struct("_deg", (-F.col("pos")).alias("p"))).alias("_n")).select("_n.*")
-    added = stage(rest.orderBy(F.col("_deg").desc(), "pos").limit(max_added).drop("_deg"), "added")
+    if max_added is not None:
+        rest = rest.orderBy(F.col("_deg").desc(), "pos").limit(max_added)
+    added = stage(rest.drop("_deg"), "added")
     offset = nodes.agg(F.coalesce(F.max("community") + 1, F.lit(0)).alias("_off"), F.coalesce(F.max("pos") + 1, F.lit(0)).alias("_poff"))
     shifted = added.crossJoin(F.broadcast(offset)).select(
         *[c for c in added.columns if c not in ("community", "pos")],

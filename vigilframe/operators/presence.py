@@ -55,12 +55,12 @@ def router_outage(pings: DataFrame, failures: int = 2, target_rows: int = 4_000_
 
 
 def device_registry(
-    sightings: DataFrame, now_us: int, retention_us: int = 7 * 86_400_000_000, cap: int = 256
+    sightings: DataFrame, now_us: int, retention_us: int = 7 * 86_400_000_000, cap: int | None = None
 ) -> DataFrame:
     """Known devices per (hostname, mac): latest ip, last known name (else the first ip), seen span.
 
-    A device unseen for longer than the retention is forgotten and starts anew.  At most ``cap``
-    devices per host, those seen last.
+    A device unseen for longer than the retention is forgotten and starts anew.  With ``cap``,
+    only that many devices of a host, those seen last.
     """
     key = ["hostname", "mac"]
     # Names and addresses are reduced per day first; sessions are made of days' summaries.
@@ -83,6 +83,8 @@ def device_registry(
     devices = current.join(names, key).select(
         *key, "ip", F.coalesce("_name", "_first_ip").alias("display_name"), "first_seen_us", "last_seen_us"
     )
+    if cap is None:
+        return devices
     return top_n_per_group(devices, ["hostname"], [F.col("last_seen_us").desc(), F.col("mac")], cap, ["mac"]).drop("rank")
 
 
@@ -92,7 +94,7 @@ def context_lines(
     before: int = 25,
     after: int = 25,
     by_unit: bool = False,
-    max_lines: int = 200,
+    max_lines: int | None = None,
     target_rows: int = 4_000_000,
 ) -> DataFrame:
     """Lines around each anchor (hostname, anchor_id, anchor_us[, unit_name]): the nearest event and
@@ -100,9 +102,10 @@ def context_lines(
 
     Adds ``anchor_id``, ``offset`` (0 = nearest; ties go to the earlier event) and ``truncated``.
     Positions are running counts over chunks; an anchor finds its place by riding along as a row
-    of weight zero.  Only the wanted positions are then joined, at most 2 * max_lines + 1 per anchor.
+    of weight zero.  Only the wanted positions are then joined, before + after + 1 per anchor.
     """
-    before, after = min(before, max_lines), min(after, max_lines)
+    if max_lines is not None:
+        before, after = min(before, max_lines), min(after, max_lines)
     keys = ["hostname", "unit_name"] if by_unit else ["hostname"]
     cols = ev.columns
     marks = anchors.select(

@@ -79,7 +79,15 @@ def _hosts(spark, d):
 def _hints(spark, d):
     h = _hosts(spark, d)
     forward = h.where(F.col("c_custkey") % 4 < 3).select("hostname", "ip")
-    return G.confirm_rdns(h.select("ip", "hostname"), forward)
+    airports = spark.createDataFrame(
+        [("fra", 50.0, 8.6, "Frankfurt", "DE"), ("lhr", 51.5, -0.5, "London", "GB"), ("nrt", 35.8, 140.4, "Tokio", "JP")],
+        "code string, lat double, lon double, city string, country string",
+    )
+    carriers = spark.createDataFrame(
+        [("de.net.dtag.de", "hh", 53.6, 10.0, "Hamburg", "DE")],
+        "suffix string, code string, lat double, lon double, city string, country string",
+    )
+    return G.confirm_rdns(h.select("ip", "hostname"), forward, airports, carriers)
 
 
 @query(
@@ -263,16 +271,19 @@ def socket_table(spark, d):
 @query(
     "connection_programs",
     f"""WITH {_PUB}, p AS (SELECT CAST(user_id % 4 AS VARCHAR) AS hostname, n, event_id, event_type FROM pub2)
-SELECT hostname, {_DOT.format(n='n')} AS ip, arg_max(event_type, (event_id % 500, event_id)) AS program FROM p GROUP BY hostname, n""",
+SELECT hostname, (event_id + 7000) % 2 AS collected_at, {_DOT.format(n='n')} AS ip,
+  arg_max(event_type, (event_id % 500, event_id)) AS program FROM p GROUP BY hostname, (event_id + 7000) % 2, n""",
 )
 def connection_programs(spark, d):
-    sockets = C.read_socket_table(_socket_lines(spark, d))
-    procs = table(spark, d, "events").select(
-        (F.col("user_id") % 4).cast("string").alias("hostname"), (F.col("event_id") + 7000).alias("inode"),
+    """Two collections; every inode occurs in both, for another connection and program."""
+    seen, inode = F.col("inode") % 2, F.floor(F.col("inode") / 2)
+    sockets = C.read_socket_table(_socket_lines(spark, d)).select("hostname", "ip", seen.alias("collected_at"), inode.alias("inode"))
+    procs = table(spark, d, "events").withColumn("inode", F.col("event_id") + 7000).select(
+        (F.col("user_id") % 4).cast("string").alias("hostname"), seen.alias("collected_at"), inode.alias("inode"),
         (F.col("event_id") % 500).alias("pid"), F.col("event_type").alias("program"),
     )
-    conns = sockets.select("hostname", "ip").distinct()
-    return G.attach_program(conns, sockets, procs).select("hostname", "ip", "program")
+    conns = sockets.select("hostname", "collected_at", "ip").distinct()
+    return G.attach_program(conns, sockets, procs).select("hostname", "collected_at", "ip", "program")
 
 
 @query(

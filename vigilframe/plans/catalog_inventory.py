@@ -238,10 +238,10 @@ def metrics_long(spark, d):
 @query(
     "metrics_text",
     f"""WITH {_SN}, l AS (SELECT * FROM sn QUALIFY row_number() OVER (PARTITION BY hostname ORDER BY ts_us DESC) = 1),
-m AS (SELECT hostname, 0 AS ord, 'vigilframe_events_total' AS metric, 'counter' AS kind, 'Events processed since start.' AS help, events AS v FROM l
-  UNION ALL SELECT hostname, 1, 'vigilframe_anomalies_total', 'counter', 'Alerts raised since start.', anomalies FROM l
-  UNION ALL SELECT hostname, 2, 'vigilframe_entropy_z', 'gauge', 'Robust z-score of the window entropy.', entropy_z FROM l
-  UNION ALL SELECT hostname, 3, 'vigilframe_load1', 'gauge', 'System load, one minute mean.', load1 FROM l)
+m AS (SELECT hostname, 0 AS ord, 'vigilframe_events_total' AS metric, 'counter' AS kind, 'Log events read.' AS help, events AS v FROM l
+  UNION ALL SELECT hostname, 1, 'vigilframe_anomalies_total', 'counter', 'Alerts written.', anomalies FROM l
+  UNION ALL SELECT hostname, 2, 'vigilframe_entropy_z', 'gauge', 'Distance of that entropy from its history.', entropy_z FROM l
+  UNION ALL SELECT hostname, 3, 'vigilframe_load1', 'gauge', 'One-minute load.', load1 FROM l)
 SELECT hostname, ord, CAST(n AS INTEGER) AS n, CASE n WHEN 0 THEN '# HELP ' || metric || ' ' || help WHEN 1 THEN '# TYPE ' || metric || ' ' || kind
   ELSE metric || ' ' || CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE CAST(v AS VARCHAR) END END AS value
 FROM m, range(3) t(n) WHERE v IS NOT NULL""",

@@ -183,9 +183,9 @@ def cut_samples(spark, d):
     "explanations",
     """WITH e AS (SELECT event_id, round(value, 2) AS z, (user_id % 5) / 4.0 AS a, (user_id % 3) / 2.0 AS b, (user_id % 4) / 3.0 AS c,
   CASE WHEN event_id % 2 = 0 THEN -1.5 ELSE 2.5 END AS ez FROM events)
-SELECT event_id AS seq, CASE WHEN c >= a AND c >= b AND ez < 0 THEN 'Log storm: one source dominates the window (entropy z -1.5).'
-  WHEN c >= a AND c >= b THEN 'Unusually many kinds of messages at once (entropy z 2.5).'
-  WHEN b >= a THEN 'New or very rare message (surprise 3.5 bits).' ELSE 'Far more frequent than usual (rate z 4.5).' END AS text FROM e""",
+SELECT event_id AS seq, CASE WHEN c >= a AND c >= b AND ez < 0 THEN 'The window has become uniform: a few templates fill it (entropy z -1.5).'
+  WHEN c >= a AND c >= b THEN 'The window has become diverse: more templates than normal (entropy z 2.5).'
+  WHEN b >= a THEN 'This unit hardly ever writes this template (3.5 bits).' ELSE 'This template comes faster than its history (rate z 4.5).' END AS text FROM e""",
 )
 def explanations(spark, d):
     u = lambda m: (F.col("user_id") % m) / float(m - 1)
@@ -287,7 +287,7 @@ def page_links(spark, d):
     return n.select("page_id", F.posexplode("links").alias("pos", "l")).select("page_id", "pos", F.col("l.target").alias("target"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in [*N.STOPWORDS_DE, *N.STOPWORDS_EN])
+_STOP = ", ".join(f"'{w}'" for w in GraphConfig.stop_words)
 
 
 @query(

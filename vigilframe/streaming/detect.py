@@ -51,9 +51,11 @@ def _load(spark: SparkSession, path: str, epoch: int, name: str) -> DataFrame |
         return None  # first epoch of a fresh state folder
 
 
-def _merge_registry(old: DataFrame | None, new: DataFrame, max_templates: int) -> DataFrame:
-    """Clusters after this epoch; above the capacity those seen last are kept."""
+def _merge_registry(old: DataFrame | None, new: DataFrame, max_templates: int | None) -> DataFrame:
+    """Clusters after this epoch; above a capacity those seen last are kept."""
     merged = new if old is None else _joined_registry(old, new)
+    if max_templates is None:
+        return merged
     kept = top_n_per_group(
         merged, ["hostname"], [F.col("last_seen_us").desc(), F.col("order")], max_templates, ["template_id"]
     )
@@ -110,12 +112,11 @@ def process_epoch(
     if old["entropy"] is not None:
         points = points.unionByName(old["entropy"])
     hist = entropy_history(points, cfg.bucket_us, cfg.history_buckets)
-    rows = stage(
-        rate_z_short(
-            windowed, cfg.bucket_us, cfg.history_buckets, start=hosts
-        ).where("_new"),
-        "stream-rate",
-    )
+    rates = rate_z_short(windowed, cfg.bucket_us, cfg.history_buckets, start=hosts)
+    if baselines is not None:
+        # A bucket may have begun in an earlier micro-batch: it is counted with the tail, then only new rows go on.
+        rates = unit_bucket_counts(rates, cfg.bucket_us)
+    rows = stage(rates.where("_new"), "stream-rate")
     rows = entropy_z(rows, cfg.bucket_us, cfg.history_buckets, hist)
     rows = (
         profile_lookup(rows, profiles, cfg.alpha, base_cfg)
@@ -123,7 +124,7 @@ def process_epoch(
         else rows.withColumn("surprisal_profile", F.lit(None).cast("double"))
     )
     if baselines is not None:
-        rows = baseline_rate_z(unit_bucket_counts(rows, cfg.bucket_us), baselines, cfg=base_cfg)
+        rows = baseline_rate_z(rows, baselines, cfg=base_cfg)
     else:
         rows = rows.withColumns({"slot_z": F.lit(None).cast("double"), "any_z": F.lit(None).cast("double")})
     scored = score_events(
