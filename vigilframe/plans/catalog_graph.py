@@ -34,7 +34,7 @@ def term_pairs(spark, d):
 
 @query("greedy_edges")
 def greedy_edges(spark, d):
-    return G.greedy_cap_edges(G.term_pairs(_doc_terms(spark, d), min_score=6), 5).select("a", "b", "score")
+    return G.greedy_cap_edges(G.term_pairs(_doc_terms(spark, d)), 5).select("a", "b", "score")
 
 
 # --- part-supplier graph -----------------------------------------------------------------------
@@ -252,7 +252,7 @@ oe AS (SELECT 'n' || page_id AS source, 'n' || ((page_id * 7) % 200) AS target,
 m AS (SELECT o.id, arg_min(b.id, (NOT lower(b.label) = lower(replace(parse_filename(o.source_file), '.md', '')), b.pos)) AS new_id
   FROM o JOIN b ON ends_with(o.source_file, '/' || b.source_file) GROUP BY o.id),
 dg AS (SELECT id, count(*) AS deg FROM (SELECT source AS id FROM oe UNION ALL SELECT target FROM oe) GROUP BY id),
-ad AS (SELECT o.id, o.community FROM o LEFT JOIN dg USING (id) WHERE o.id NOT IN (SELECT id FROM m) ORDER BY coalesce(deg, 0) DESC, pos LIMIT 40),
+ad AS (SELECT o.id, o.community FROM o LEFT JOIN dg USING (id) WHERE o.id NOT IN (SELECT id FROM m)),
 im AS (SELECT id, new_id FROM m UNION ALL SELECT id, id FROM ad),
 mv AS (SELECT s.new_id AS source, t.new_id AS target, pos FROM oe JOIN im s ON s.id = oe.source JOIN im t ON t.id = oe.target WHERE s.new_id <> t.new_id),
 fr AS (SELECT least(source, target) AS a, greatest(source, target) AS b, arg_min(source, pos) AS source, arg_min(target, pos) AS target FROM mv GROUP BY ALL),
@@ -274,7 +274,7 @@ def _overlay(spark, d):
         F.concat(s("/home/src/doc", page * 3), F.lit(".md")).alias("source_file"), page.alias("pos"),
     )
     o_edges = pages.select(s("n", page).alias("source"), s("n", (page * 7) % 200).alias("target"), page.alias("pos"))
-    return G.merge_overlay(nodes, edges, o_nodes, o_edges, 40)
+    return G.merge_overlay(nodes, edges, o_nodes, o_edges)
 
 
 @query(

@@ -40,10 +40,10 @@ def filtered_anomalies(spark, d):
 
 @query(
     "top_scores",
-    f"WITH {_AN} SELECT seq, round(value / 1000, 6) + 0.0 AS score FROM an ORDER BY value DESC, ts_us DESC, seq DESC LIMIT 50",
+    f"WITH {_AN} SELECT seq, round(value / 1000, 6) + 0.0 AS score FROM an",
 )
 def top_scores(spark, d):
-    return SC.sort_anomalies(_anomalies(spark, d), "score").limit(50).select("seq", r6("breakdown.combined").alias("score"))
+    return SC.sort_anomalies(_anomalies(spark, d), "score").select("seq", r6("breakdown.combined").alias("score"))
 
 
 @query(
@@ -152,10 +152,10 @@ def visible_services(spark, d):
 @query(
     "ordered_services",
     f"""WITH {_SV} SELECT name, status FROM st
-ORDER BY CASE status WHEN 'failed' THEN 0 WHEN 'not_running' THEN 1 WHEN 'running' THEN 2 ELSE 3 END, name LIMIT 100""",
+ORDER BY CASE status WHEN 'failed' THEN 0 WHEN 'not_running' THEN 1 WHEN 'running' THEN 2 ELSE 3 END, name""",
 )
 def ordered_services(spark, d):
-    return I.order_services(_units(spark, d)).limit(100).select("name", "status")
+    return I.order_services(_units(spark, d)).select("name", "status")
 
 
 @query("watched_units", f"WITH {_SV} SELECT name FROM st WHERE name IN (SELECT 'app-' || c_custkey || '.service' FROM customer)")

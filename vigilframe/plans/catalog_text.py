@@ -196,15 +196,16 @@ def explanations(spark, d):
 
 @query(
     "display_names",
-    r"""SELECT doc_id, CASE WHEN t = '' THEN 'related_to' ELSE t END AS relation, CASE WHEN length(l) > 26 THEN left(l, 25) || '…' ELSE l END AS label, q AS csv
-FROM (SELECT doc_id, rtrim(left(trim(regexp_replace(lower(trim(h, ' ')), '[^a-z0-9]+', '_', 'g'), '_'), 40), '_') AS t,
+    r"""SELECT doc_id, line, CASE WHEN t = '' THEN 'related_to' ELSE t END AS relation, CASE WHEN length(l) > 26 THEN left(l, 25) || '…' ELSE l END AS label, q AS csv
+FROM (SELECT doc_id, line, rtrim(left(trim(regexp_replace(lower(trim(h, ' ')), '[^a-z0-9]+', '_', 'g'), '_'), 40), '_') AS t,
   string_split(h, '/')[-1] AS l, CASE WHEN regexp_matches(h, '[,"\n\r]') THEN '"' || replace(h, '"', '""') || '"' ELSE h END AS q
-  FROM (SELECT doc_id, string_split(text, chr(10))[1] AS h FROM documents))""",
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS h, unnest(range(len(string_split(text, chr(10)))))::INTEGER AS line FROM documents))""",
 )
 def display_names(spark, d):
-    h = F.get(F.split("text", "\n"), F.lit(0))
-    return table(spark, d, "documents").select(
-        "doc_id", sanitize_relation(h).alias("relation"), short_label(h).alias("label"), csv_field(h).alias("csv")
+    h = F.col("h")
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "h"))
+    return lines.select(
+        "doc_id", "line", sanitize_relation(h).alias("relation"), short_label(h).alias("label"), csv_field(h).alias("csv")
     )
 
 
@@ -314,7 +315,7 @@ ls AS (
   FROM documents LEFT JOIN labels USING (doc_id) WHERE lang <> 'es'
   UNION ALL SELECT 'page/' || page_id, length(html), page_id, md5(html) FROM pages),
 dl AS (
-  SELECT path, CASE WHEN l.path IS NULL THEN 'removed' WHEN l.size > 20000 THEN 'skipped'
+  SELECT path, CASE WHEN l.path IS NULL THEN 'removed'
     WHEN s.path IS NOT NULL AND s.size = l.size AND s.mtime_ns = l.mtime_ns THEN 'same'
     WHEN s.path IS NULL THEN 'added' WHEN s.hash = l.hash THEN 'touched' ELSE 'changed' END AS change, s.path IS NOT NULL AS known
   FROM st s FULL JOIN ls l USING (path))"""
@@ -336,7 +337,7 @@ def _delta(spark, d):
         F.col("page_id").alias("mtime_ns"), F.col("html").alias("text"),
     )
     listing = new.unionByName(pages)
-    return N.delta_notes(state, listing.select("path", "size", "mtime_ns"), listing.select("path", content_hash(F.col("text")).alias("hash")), 20_000)
+    return N.delta_notes(state, listing.select("path", "size", "mtime_ns"), listing.select("path", content_hash(F.col("text")).alias("hash")))
 
 
 @query("delta_notes", f"WITH {_DELTA} SELECT path, change FROM dl")
@@ -414,7 +415,7 @@ def candidate_edges(spark, d):
 k AS (SELECT DISTINCT conv_id AS n FROM conversations),
 v AS (SELECT r.* FROM r JOIN k a ON 'N' || a.n = s JOIN k b ON 'N' || b.n = t WHERE s <> t),
 f AS (SELECT s, t, min(pos) AS pos FROM v GROUP BY ALL),
-w AS (SELECT pos FROM f ORDER BY pos LIMIT 150)
+w AS (SELECT pos FROM f)
 SELECT r.pos, w.pos IS NOT NULL AS accepted, role || '_of' AS relation FROM r LEFT JOIN w USING (pos)""",
 )
 def validated_edges(spark, d):
@@ -425,4 +426,4 @@ def validated_edges(spark, d):
     )
     conv = table(spark, d, "conversations").select("conv_id").distinct()
     ids = conv.select(F.concat(F.lit("N"), F.col("conv_id").cast("string")).alias("id"), F.col("conv_id").cast("string").alias("path"))
-    return validate_candidate_edges(raw, ids, ids.select("id"), 150).select("pos", "accepted", "relation")
+    return validate_candidate_edges(raw, ids, ids.select("id")).select("pos", "accepted", "relation")
