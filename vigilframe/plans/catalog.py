@@ -32,6 +32,7 @@ def query(name: str, sql: str | None = None):
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from vigilframe.plans import (  # noqa: F401  (registers the queries)
+        catalog_checks,
         catalog_geo,
         catalog_graph,
         catalog_inventory,
