@@ -20,11 +20,10 @@ an AS (SELECT e.*, CASE WHEN e.value >= 90 THEN 'critical' WHEN e.value >= 50 TH
 
 
 def _anomalies(spark, d):
-    text = table(spark, d, "events").select(F.col("event_id").alias("seq"), msg().alias("sample_message"))
     level = F.when(F.col("value") >= 90, F.lit("critical")).when(F.col("value") >= 50, F.lit("warn")).otherwise(F.lit("info"))
-    return events(spark, d).join(text, "seq").select(
+    return events(spark, d).select(
         "hostname", "ts_us", "seq", F.col("seq").alias("id"), F.xxhash64("template_id").alias("template_id"),
-        F.col("template_id").alias("template_text"), "sample_message", "unit", F.col("user_id").cast("int").alias("pid"),
+        F.col("template_id").alias("template_text"), msg(etype="unit", eid="seq").alias("sample_message"), "unit", F.col("user_id").cast("int").alias("pid"),
         level.alias("level"), F.struct((F.col("value") / 1000.0).alias("combined")).alias("breakdown"), F.col("value").alias("value"),
     )
 

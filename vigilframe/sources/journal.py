@@ -60,8 +60,15 @@ def parse_journal(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+_EVENT_COLUMNS = {
+    "ts_us", "ts", "unit", "unit_field", "pid", "priority", "message", "message_was_binary", "hostname", "error", "line",
+}
+
+
 def split_parse_errors(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events, errors): good rows without the error columns; bad rows as (error, line)."""
+    """(events, errors): good rows without the error columns; bad rows as (error, line, hostname) with the
+    columns that came with the lines."""
     good = parsed.where(F.col("error").isNull()).drop("error", "line")
-    bad = parsed.where(F.col("error").isNotNull()).select("error", "line")
+    own = [c for c in parsed.columns if c not in _EVENT_COLUMNS]
+    bad = parsed.where(F.col("error").isNotNull()).select("error", "line", "hostname", *own)
     return good, bad
