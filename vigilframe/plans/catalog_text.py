@@ -302,9 +302,18 @@ def page_terms(spark, d):
     return n.select("page_id", F.explode("terms").alias("term"))
 
 
-@query("document_notes")
+@query(
+    "document_notes",
+    """SELECT doc_id, source AS title, 1 AS links, '#' || lang || ' notes about ' || source AS terms FROM documents""",
+)
 def document_notes(spark, d):
-    n = N.extract_notes(texts(spark, d, "documents", "doc_id", "text"))
+    """Whole documents below a head with frontmatter, a heading and a link."""
+    head = F.concat(
+        F.lit("---\ntitle: "), F.col("source"), F.lit("\ntags: "), F.col("lang"), F.lit("\n---\n# Notes about "), F.col("source"),
+        F.lit("\n\n[next](n"), F.col("doc_id").cast("string"), F.lit(".md) "),
+    )
+    docs = texts(spark, d, "documents", "doc_id", "text", "source", "lang")
+    n = N.extract_notes(docs.select("doc_id", F.concat(head, "text").alias("text")))
     return n.select("doc_id", "title", F.size("links").alias("links"), F.array_join("terms", " ").alias("terms"))
 
 
