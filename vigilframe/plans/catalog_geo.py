@@ -80,11 +80,11 @@ def _hints(spark, d):
     h = _hosts(spark, d)
     forward = h.where(F.col("c_custkey") % 4 < 3).select("hostname", "ip")
     airports = spark.createDataFrame(
-        [("fra", 50.0, 8.6, "Frankfurt", "DE"), ("lhr", 51.5, -0.5, "London", "GB"), ("nrt", 35.8, 140.4, "Tokio", "JP")],
+        [("fra", 50.0, 8.6, "Frankfurt", "C0"), ("lhr", 51.5, -0.5, "London", "C3"), ("nrt", 35.8, 140.4, "Tokio", "C6")],
         "code string, lat double, lon double, city string, country string",
     )
     carriers = spark.createDataFrame(
-        [("de.net.dtag.de", "hh", 53.6, 10.0, "Hamburg", "DE")],
+        [("de.net.dtag.de", "hh", 53.6, 10.0, "Hamburg", "C9")],
         "suffix string, code string, lat double, lon double, city string, country string",
     )
     return G.confirm_rdns(h.select("ip", "hostname"), forward, airports, carriers)
@@ -188,7 +188,7 @@ def _located_hops(spark, d):
 )
 def located_hops(spark, d):
     h = _located_hops(spark, d)
-    # A name hint's own country is not among the nations: show the city alone.
+    # Of hops with a name hint, show the city alone.
     place = F.when(F.col("hint").isNotNull(), F.col("hint.city")).otherwise(F.col("place"))
     text = F.when(F.col("ip").isNull(), F.lit("silent")).otherwise(F.coalesce(place, F.lit("unknown")))
     return h.select("ttl", text.alias("place"))
@@ -203,7 +203,15 @@ def waypoint_counts(spark, d):
     return G.waypoints(_located_hops(spark, d)).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("waypoints"))
 
 
-@query("refined_points")
+@query(
+    "refined_points",
+    f"""WITH {_HOP}, h AS (SELECT *, (o_custkey * 2863311 + 16777217) % 4294967296 AS target FROM hl WHERE source = 'reverse_dns' AND NOT local),
+b AS (SELECT target, CASE place WHEN 'Frankfurt' THEN 'C0' WHEN 'London' THEN 'C3' WHEN 'Hamburg' THEN 'C9' ELSE 'C6' END AS country,
+  arg_max(place, ttl) AS city FROM h WHERE ip <> target GROUP BY ALL)
+SELECT c_custkey, CASE WHEN source = 'country' AND b.city IS NOT NULL THEN 'route' ELSE source END AS source,
+  CASE WHEN source = 'country' AND b.city IS NOT NULL THEN b.city ELSE place END AS city
+FROM loc LEFT JOIN b ON b.target = loc.ip AND b.country = loc.country WHERE source IS NOT NULL""",
+)
 def refined_points(spark, d):
     hops = stage(_located_hops(spark, d))
     points = _located(spark, d).where(F.col("located").isNotNull()).select("ip", "c_custkey", "located.*")
