@@ -1,9 +1,11 @@
 from dataclasses import replace
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.scenario import BASE_US, journal_lines
 from vigilframe.config import AnalysisConfig
+from vigilframe.operators.baselines import fit_slot_baselines, fit_unit_profiles, trusted_baselines
 from vigilframe.operators.events import canonical_events
 from vigilframe.plans.detect import detect_anomalies
 from vigilframe.sources.journal import parse_journal, split_parse_errors
@@ -13,7 +15,9 @@ from vigilframe.streaming.windows import presence_sessions, tumbling_counts
 CFG = replace(AnalysisConfig(), learning_minutes=5)
 
 
-def test_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("stored", [False, True])
+def test_stream_equals_batch(spark, tmp_path, stored):
+    """Micro-batches end within buckets and windows; ``stored``: with baselines and profiles of an earlier run."""
     lines = [(i, text) for i, text in enumerate(journal_lines(seed=11)) ]
     good, _ = split_parse_errors(parse_journal(spark.createDataFrame(lines, "seq bigint, value string")))
     good = good.where(F.col("ts_us") < BASE_US + 1_000_000_000).cache()
@@ -21,7 +25,17 @@ def test_stream_equals_batch(spark, tmp_path):
     from vigilframe.config import BaselineConfig
 
     never = BaselineConfig(profile_min_weight=1e9)
-    batch = detect_anomalies(good, CFG, never)["anomalies"]
+    known = {}
+    if stored:
+        first = detect_anomalies(good.where(F.col("ts_us") < BASE_US + 800_000_000), CFG, never)["templates"]
+        cfg = BaselineConfig(min_weight=50.0)
+        known = {
+            "base_cfg": cfg,
+            "baselines": fit_slot_baselines(first, CFG.bucket_us, cfg).cache(),
+            "profiles": fit_unit_profiles(first, CFG.bucket_us, cfg).cache(),
+        }
+        assert trusted_baselines(known["baselines"], known["profiles"], cfg).collect()[0].trusted
+    batch = detect_anomalies(good, CFG, **(known or {"base_cfg": never}))["anomalies"]
     src = str(tmp_path / "in")
     for i, (lo, hi) in enumerate([(0, 845_000_000), (845_000_000, 873_000_000), (873_000_000, 1_000_000_000)]):
         part = good.where((F.col("ts_us") >= BASE_US + lo) & (F.col("ts_us") < BASE_US + hi))
@@ -31,7 +45,7 @@ def test_stream_equals_batch(spark, tmp_path):
         spark.readStream.schema(good.schema).option("maxFilesPerTrigger", 1)
         .option("recursiveFileLookup", True).parquet(src)
     )
-    q = stream_detect(stream, out, str(tmp_path / "cp"), {"availableNow": True}, cfg=CFG)
+    q = stream_detect(stream, out, str(tmp_path / "cp"), {"availableNow": True}, cfg=CFG, **known)
     q.awaitTermination()
     cols = ["hostname", "ts_us", "seq", "level", "template_id", "suppressed_since_last", F.round("breakdown.combined", 6)]
     want = {tuple(r) for r in batch.select(*cols).collect()}

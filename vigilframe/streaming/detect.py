@@ -15,12 +15,11 @@ same result.  Results equal a batch run if micro-batches do not interleave in ev
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilframe.config import AnalysisConfig, BaselineConfig, DEFAULT_QUIET_RULES, QuietRule
 from vigilframe.functions import bucket_of
-from vigilframe.operators.baselines import baseline_rate_z, profile_lookup
+from vigilframe.operators.baselines import baseline_rate_z, profile_lookup, trusted_baselines
 from vigilframe.operators.events import canonical_events
 from vigilframe.operators.filters import quiet_filter
 from vigilframe.operators.ordered import stage, top_n_per_group
@@ -43,12 +42,8 @@ from vigilframe.plans.detect import unit_bucket_counts
 
 
 def _load(spark: SparkSession, path: str, epoch: int, name: str) -> DataFrame | None:
-    if epoch < 0:
-        return None
-    try:
-        return spark.read.parquet(f"{path}/state/epoch={epoch}/{name}")
-    except AnalysisException:
-        return None  # first epoch of a fresh state folder
+    """State of an epoch; only before the first one there is none.  A lost state folder is an error."""
+    return None if epoch < 0 else spark.read.parquet(f"{path}/state/epoch={epoch}/{name}")
 
 
 def _merge_registry(old: DataFrame | None, new: DataFrame, max_templates: int | None) -> DataFrame:
@@ -140,7 +135,14 @@ def process_epoch(
         level_hysteresis(stage(scored, "stream-scored"), cfg, start=start).join(hosts.select("hostname", "first_us"), "hostname"),
         "stream-levels",
     )
-    past_learning = leveled.where(F.col("ts_us") - F.col("first_us") >= cfg.learning_us)
+    past = F.col("ts_us") - F.col("first_us") >= cfg.learning_us
+    if baselines is not None:
+        # As in a batch, hosts with a trusted baseline do not learn first.
+        trusted = trusted_baselines(baselines, profiles, base_cfg).where("trusted").select("hostname", F.lit(True).alias("_trusted"))
+        leveled = leveled.join(trusted, "hostname", "left")
+        past = past | F.coalesce("_trusted", F.lit(False))
+    past_learning = leveled.where(past).drop("_trusted")
+    leveled = leveled.drop("_trusted")
     folded = stage(cooldown_dedup(past_learning, cfg, state=old["alerts"]), "stream-folded")
     alerts = build_anomaly_events(
         folded.withColumn("disposition", F.when(F.col("emitted"), F.lit("emitted")).otherwise(F.lit("suppressed"))),
