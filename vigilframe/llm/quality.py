@@ -13,6 +13,8 @@ MIN_LINE_DOCS = 10
 MAX_LINE_PERCENT = 10
 #: A document is depleted when less than this share of its words is left without boilerplate lines.
 MIN_LEFT_PERCENT = 30
+#: Line hashes of all hosts that are sent to every task at most; beyond, texts are joined by host.
+BROADCAST_LINES = 1_000_000
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -115,16 +117,22 @@ def judge_quality(
     document that passes is rejected if under ``min_left_percent`` % of its words are left once the
     boilerplate lines of its host are taken away.  ``host``: a string column, ``source`` by default.
     Null text: no words, so base_failed.  Null host: a host of its own.  Repeated rows are judged
-    alike.  Texts are never shuffled: what is known of a host is joined to its documents as one short array.
+    alike.  What is known of a host is joined to its documents as one short array; up to
+    BROADCAST_LINES hashes in all it is broadcast, so texts stay where they are.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_boiler_words", "kept"]
     keep = [c for c in docs.columns if c.lower() not in added]
     key, base, lines = (free_name(docs, c) for c in ("host_key", "base", "boiler"))
     source = F.col("source") if host is None else host
     hosted = docs.withColumn(key, F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source.cast("string"))))
-    boiler = frequent_lines(hosted, key, min_line_docs, max_line_percent).select(
-        F.col("host").alias(key), F.col("lines").alias(lines)
+    boiler = stage(
+        frequent_lines(hosted, key, min_line_docs, max_line_percent).select(
+            F.col("host").alias(key), F.col("lines").alias(lines)
+        ),
+        "boiler-lines",
     )
+    if (boiler.agg(F.sum(F.size(lines) + 1)).first()[0] or 0) <= BROADCAST_LINES:
+        boiler = F.broadcast(boiler)
     removed = F.aggregate(
         F.filter(text_lines(F.col("text")), lambda x: F.array_contains(F.col(lines), line_hash(x))),
         F.lit(0).cast("bigint"),
@@ -146,14 +154,9 @@ def judge_quality(
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """Documents that the rules keep, with the columns they came with.
-
-    The verdict is reached on the text and host alone and joined to nothing: one scan for the line
-    counts, one for the documents.
-    """
-    flag = free_name(docs, "kept_flag")
-    judged = judge_quality(docs.withColumn(flag, F.lit(True)))
-    return judged.where("kept").select(*docs.columns)
+    """Documents that the rules keep, with the columns they came with."""
+    packed = docs.select(F.struct("*").alias("row"), "text", "source")
+    return judge_quality(packed).where("kept").select("row.*")
 
 
 @query(
