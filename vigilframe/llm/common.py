@@ -87,8 +87,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_SCRATCH: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new path in the shared folder, or in the scratch folder that is open."""
+    return os.path.join(_SCRATCH[-1] if _SCRATCH else shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The written result of ``build``; what it staged on the way is removed."""
+    path = new_path(spark, name)
+    _SCRATCH.append(new_path(spark, "scratch"))
+    try:
+        df = build()
+        df.write.parquet(path)
+    finally:
+        root = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A written table of few short columns, marked to be broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def stage(df: DataFrame, name: str, **options) -> DataFrame:

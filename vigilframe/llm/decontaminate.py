@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vigilframe.llm.common import free_name, query, shingle_hashes, stage, table
+from vigilframe.llm.common import free_name, query, shingle_hashes, small, stage, table
 
 THRESHOLD_PERCENT = 80
 
@@ -67,7 +67,7 @@ def contained_items(
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Documents that contain no item, with all their columns."""
     bad = free_name(docs, "bad_id")
-    hits = contained_items(docs, items, id_col).select(F.col(id_col).alias(bad)).distinct()
+    hits = small(stage(contained_items(docs, items, id_col).select(F.col(id_col).alias(bad)).distinct(), "contaminated"))
     return docs.join(hits, docs[id_col].eqNullSafe(hits[bad]), "left_anti")
 
 

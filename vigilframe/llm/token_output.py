@@ -9,8 +9,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from vigilframe.llm import rans
-from vigilframe.llm.common import new_path, query, table
-from vigilframe.llm.tokenize import TOKENIZER, encoder
+from vigilframe.llm.common import new_path, query, small_batches, table
+from vigilframe.llm.tokenize import BATCH_TEXTS, TOKENIZER, encoder
 
 END_ID = 0
 SEGMENT_IDS = 2_000_000
@@ -128,7 +128,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def token_digests(docs: DataFrame, **options) -> DataFrame:
     """Write, read back and sum up: (doc_id, start, n_tokens, ids_crc32)."""
     path = new_path(docs.sparkSession, "tokens")
-    write_tokens(docs, path, **options)
+    with small_batches(docs.sparkSession, BATCH_TEXTS):
+        write_tokens(docs, path, **options)
     found, base = _read(docs.sparkSession, path)
     return _with_start(found.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), base, "ids_crc32")
 

@@ -6,6 +6,7 @@ not met before go through the tokenizer, and the ids of the texts are put togeth
 
 from __future__ import annotations
 
+import ctypes
 import re
 
 import numpy as np
@@ -16,9 +17,9 @@ from tokenizers import Tokenizer
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Pieces kept in each of two generations; those used lately outlive the others.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 #: Texts and characters that are encoded together at most (a single text may be longer).
-BATCH_TEXTS, BATCH_CHARS = 4000, 12_000_000
+BATCH_TEXTS, BATCH_CHARS = 5000, 12_000_000
 #: A space between two whitespace characters (or before the end) may join tokens across it.
 _JOINED = re.compile(r"\s (?:\s|$)")
 #: A full stop or comma behind a letter, and a letter behind its line feed, are parts of their own to the
@@ -125,6 +126,15 @@ class Encoder:
         """(first row, rows, ids, lengths) with an end id after every text."""
         for at, n, ids, lengths in self.batches(texts):
             yield at, n, np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
+        release()
+
+
+def release() -> None:
+    """Give unused memory back: Python workers stay, and others need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
