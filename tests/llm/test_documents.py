@@ -220,6 +220,19 @@ def test_quality_rules(spark):
     assert quality.judge_quality(frame(spark, [])).count() == 0
 
 
+def test_kept_documents_lose_boilerplate_lines(spark):
+    rng = random.Random(6)
+    line = "Subscribe to our  newsletter now"
+    own = [prose(rng, 60, 5000) for _ in range(30)]
+    rows = [(i, f"{line}\n\n{x}\r\n {line.upper()}\nend {i}", "a", 9) for i, x in enumerate(own)]
+    rows += [(100, f"{line}\n{own[0]}", "b", 9), (101, f" {own[1]}\n\n", None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, Text string, source string, n_chars int")
+    got = quality.keep_good(docs)
+    assert got.dtypes == docs.dtypes
+    want = [(i, f"\n{x}\r\nend {i}", "a", len(x) + 7 + len(str(i))) for i, x in enumerate(own)] + rows[-2:]
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     """The pipeline over a small fixture; the mix and the codec are checked by their own tests."""
     import zlib

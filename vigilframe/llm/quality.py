@@ -111,8 +111,9 @@ def judge_quality(
     max_line_percent: int = MAX_LINE_PERCENT,
     min_left_percent: int = MIN_LEFT_PERCENT,
 ) -> DataFrame:
-    """Add the base counts, ``base_failed``, ``n_boiler_words`` and ``kept`` to every row of ``docs``.
+    """Add the base counts, ``base_failed``, ``n_boiler_words``, ``kept`` and ``left_text`` to every row of ``docs``.
 
+    ``left_text``: the text without the boilerplate lines of its host, unchanged where it holds none.
     ``base_failed``: under 50 words, or more than half of the words in repeated 3-word windows.  A
     document that passes is rejected if under ``min_left_percent`` % of its words are left once the
     boilerplate lines of its host are taken away.  ``host``: a string column, ``source`` by default.
@@ -120,7 +121,7 @@ def judge_quality(
     alike.  What is known of a host is joined to its documents as one short array; up to
     BROADCAST_LINES hashes in all it is broadcast, so texts stay where they are.
     """
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_boiler_words", "kept"]
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_boiler_words", "kept", "left_text"]
     keep = [c for c in docs.columns if c.lower() not in added]
     key, base, lines = (free_name(docs, c) for c in ("host_key", "base", "boiler"))
     source = F.col("source") if host is None else host
@@ -133,11 +134,13 @@ def judge_quality(
     )
     if (boiler.agg(F.sum(F.size(lines) + 1)).first()[0] or 0) <= BROADCAST_LINES:
         boiler = F.broadcast(boiler)
+    boilerplate = lambda x: F.rlike(x, F.lit(WORD)) & F.array_contains(F.col(lines), line_hash(x))
     removed = F.aggregate(
-        F.filter(text_lines(F.col("text")), lambda x: F.array_contains(F.col(lines), line_hash(x))),
+        F.filter(F.split(F.col("text"), "\n"), boilerplate),
         F.lit(0).cast("bigint"),
         lambda a, x: a + F.regexp_count(x, F.lit(WORD)),
     )
+    left_lines = F.array_join(F.filter(F.split(F.col("text"), "\n"), lambda x: ~boilerplate(x)), "\n")
     failed = (F.col("n_words") < MIN_WORDS) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED_PERCENT
     )
@@ -145,8 +148,9 @@ def judge_quality(
     return (
         hosted.withColumn(base, base_counts(F.col("text")))
         .join(boiler, key, "left")
-        .withColumn("n_boiler_words", F.when(F.col(lines).isNull(), F.lit(0).cast("bigint")).otherwise(removed))
-        .select(*keep, f"{base}.*", "n_boiler_words")
+        .withColumn("n_boiler_words", F.when(F.col(lines).isNull(), F.lit(0).cast("bigint")).otherwise(F.coalesce(removed, F.lit(0).cast("bigint"))))
+        .withColumn("left_text", F.when(F.col("n_boiler_words") > 0, left_lines).otherwise(F.col("text")))
+        .select(*keep, f"{base}.*", "n_boiler_words", "left_text")
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & left)
         .select(*keep, *added)
@@ -154,9 +158,18 @@ def judge_quality(
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """Documents that the rules keep, with the columns they came with."""
+    """Documents that the rules keep, with the columns they came with.
+
+    Boilerplate lines of the host are taken out of ``text``; ``n_chars``, if there is one, is counted
+    again where that changes a text.
+    """
     packed = docs.select(F.struct("*").alias("row"), "text", "source")
-    return judge_quality(packed).where("kept").select("row.*")
+    row = F.col("row")
+    for name, kind in docs.dtypes:
+        if name.lower() in ("text", "n_chars"):
+            new = F.col("left_text") if name.lower() == "text" else F.length("left_text")
+            row = row.withField(name, F.when(F.col("n_boiler_words") > 0, new.cast(kind)).otherwise(F.col("row")[name]))
+    return judge_quality(packed).where("kept").select(row.alias("row")).select("row.*")
 
 
 @query(
@@ -187,4 +200,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 )
 def op8_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return judge_quality(docs).drop("text", "source")
+    return judge_quality(docs).drop("text", "source", "left_text")
