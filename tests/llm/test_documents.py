@@ -181,6 +181,22 @@ def test_mixing_cuts_large_bands_into_slots(spark, monkeypatch):
     assert all(abs(3 * r[1] - r[2]) <= 3 for r in out)
 
 
+def test_mixing_takes_the_same_documents_whatever_the_slots(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(rng.randrange(-10**12, 10**12), "a " * rng.choice([2, 2, 2, 3, 5, 40]), rng.choice("aab")) for _ in range(1500)]
+    docs = frame(spark, rows + [(None, "a a", "a"), (None, "a a a", "b")])
+    got = []
+    for n in (20_000, 50, 7):
+        monkeypatch.setattr(mixing, "SLOT_ROWS", n)
+        out = mixing.mix_sources(docs, mixing.cycle_weights()).collect()
+        got.append(sorted((r.source, r["size"], r.doc_id is None, r.doc_id or 0, r.copies) for r in out))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 1502
+    for s in "ab":  # in the order of size and doc_id, copies differ from a straight line by less than one
+        copies = [r[-1] for r in got[0] if r[0] == s]
+        each = sum(copies) / len(copies)
+        assert all(abs(sum(copies[:k]) - k * each) < 1.1 for k in range(len(copies)))
+
+
 def test_quality_rules(spark):
     rng = random.Random(4)
     line = "Subscribe to our  newsletter now"

@@ -8,8 +8,8 @@ from vigilframe.llm.common import free_name, n_words, query, stage, table
 
 #: Expected copies are counted in integers of this unit, so that sums do not depend on their order.
 UNIT = 1 << 26
-#: A size band of a source is cut into one slot for every so many documents, at most SLOTS.
-SLOT_ROWS, SLOTS = 20_000, 64
+#: Documents of one source and size are ordered in ranges of doc_id of about so many documents.
+SLOT_ROWS = 20_000
 
 
 def source_key(source: Column) -> Column:
@@ -40,6 +40,35 @@ def fill_targets(sources: DataFrame, total_share: float = 1.5, max_repeat: int =
     return leveled.withColumn("target", F.least(cap.cast("double"), share)).drop("_at")
 
 
+def range_of(value: Column, starts: Column) -> Column:
+    """How many of the ascending ``starts`` are not above ``value``, by bisection; all for a null value, 0 for null starts."""
+    n = F.coalesce(F.size(starts), F.lit(0))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(n + 1.0)).cast("int"))
+
+    def halve(at: Column, _) -> Column:
+        middle = F.floor((at.low + at.high) / 2).cast("int")
+        above = F.get(starts, middle) > value
+        return F.when(at.low >= at.high, at).when(above, F.struct(at.low.alias("low"), middle.alias("high"))).otherwise(
+            F.struct((middle + 1).alias("low"), at.high.alias("high"))
+        )
+
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("low"), n.alias("high")), halve, lambda at: at.low)
+    return F.when(n == 0, F.lit(0)).when(value.isNull(), n).otherwise(found).cast("int")
+
+
+def doc_id_ranges(sized: DataFrame, counts: DataFrame) -> DataFrame:
+    """(key, size, starts): where ranges of doc_id begin in sizes of a source with more than SLOT_ROWS documents.
+
+    One doc_id of about SLOT_ROWS, by its hash, begins a range.  Where ranges begin changes no order.
+    """
+    large = F.broadcast(counts.where(F.col("n") > SLOT_ROWS).select("key", "size"))  # at most rows / SLOT_ROWS
+    start = F.pmod(F.xxhash64("doc_id"), F.lit(SLOT_ROWS)) == 0
+    return (
+        sized.where(F.col("doc_id").isNotNull() & start).join(large, ["key", "size"])
+        .groupBy("key", "size").agg(F.sort_array(F.collect_set("doc_id")).alias("starts"))
+    )
+
+
 def mix_sources(
     docs: DataFrame,
     weights,
@@ -55,30 +84,37 @@ def mix_sources(
     documents stand in order of size, and each gets one copy for every integer that the running sum,
     begun at one random offset per source, passes.
 
-    Order of a source: size band (square root of the size), slot, size, doc_id.  A window holds one slot
-    of one band only; what stands before it comes from a table of counts, so a source with a third of
-    all rows is split.
+    Order of a source: size, doc_id (null last), whatever the number of documents.  A window holds one
+    size of a source only, or one range of its doc_ids where it has more than SLOT_ROWS documents; what
+    stands before it comes from a table of counts, so a source with a third of all rows is split.
     Null source: a source of its own.  Null text: size 0.  Sources without words take nothing.
     Repeated rows are separate documents.  An empty table gives an empty result.  Columns of ``docs``
     that have the name of an added one are replaced.
     """
     added = ("size", "source_size", "target", "copies")
     keep = [c for c in docs.columns if c.lower() not in added]
-    key, band, slot, mix, begin = (free_name(docs, c) for c in ("key", "band", "slot", "mix", "begin"))
+    key, cut, mix, begin = (free_name(docs, c) for c in ("key", "cut", "mix", "begin"))
     sized = (
         docs.withColumn("size", n_words(F.col("text")) if size is None else size)
         .withColumn(key, source_key(F.col("source")))
-        .withColumn(band, F.floor(F.sqrt("size")).cast("bigint"))
-        .withColumn(slot, F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("bigint"))
         .drop("source_size", "target", "copies")
     )
+    narrow = sized.select(F.col(key).alias("key"), "size", "doc_id", "source")
     counts = stage(
-        sized.groupBy(F.col(key).alias("key"), F.col(band).alias("band"), F.col(slot).alias("slot")).agg(
-            F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"), F.first("source").alias("source")
-        ),
-        "mix-counts",
+        narrow.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n"), F.first("source").alias("source")), "mix-counts"
     )
-    sources = counts.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
+    ranged = counts.select("key", "size", F.lit(0).alias("cut"), "n")
+    if counts.where(F.col("n") > SLOT_ROWS).isEmpty():
+        sized = sized.withColumn(cut, F.lit(0))
+    else:
+        ranges = F.broadcast(stage(doc_id_ranges(narrow, counts), "mix-ranges"))
+        place = lambda df, name: df.withColumn(name, range_of(F.col("doc_id"), F.col(starts))).drop(starts)
+        starts = free_name(sized.withColumn(cut, F.lit(0)), "starts")
+        named = ranges.select("key", "size", F.col("starts").alias(starts))
+        held = place(narrow.join(named, ["key", "size"]), "cut").groupBy("key", "size", "cut").agg(F.count(F.lit(1)).alias("n"))
+        ranged = stage(ranged.join(ranges, ["key", "size"], "left_anti").unionByName(held), "mix-cuts")
+        sized = place(sized.join(named.withColumnRenamed("key", key), [key, "size"], "left"), cut)
+    sources = counts.groupBy("key").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = fill_targets(weights(sources), total_share, max_repeat).select(
         "key",
         "source_size",
@@ -89,23 +125,21 @@ def mix_sources(
         F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(seed), "key")), 1, 8), 16, 10).cast("bigint"), F.lit(UNIT))
         .alias("offset"),
     )
-    cuts = F.least(F.lit(SLOTS), 1 + F.floor(F.sum("n").over(Window.partitionBy("key", "band")) / SLOT_ROWS))
-    cut = counts.withColumn("cut", F.floor(F.col("slot") * cuts / SLOTS))
-    in_order = Window.partitionBy("key").orderBy("band", "cut")
+    in_order = Window.partitionBy("key").orderBy("size", "cut").rowsBetween(Window.unboundedPreceding, -1)
     chunks = (
-        cut.withColumn("ahead", F.sum("n").over(in_order) - F.sum("n").over(Window.partitionBy("key", "band", "cut")))
+        ranged.withColumn("ahead", F.coalesce(F.sum("n").over(in_order), F.lit(0)))
         .join(targets, "key")
         .select(
-            F.col("key").alias(key), F.col("band").alias(band), F.col("slot").alias(slot), "source_size", "target",
-            F.struct("each", "offset", "ahead", "cut").alias(mix),
+            F.col("key").alias(key), "size", F.col("cut").alias(cut), "source_size", "target",
+            F.struct("each", "offset", "ahead").alias(mix),
         )
     )
-    within = Window.partitionBy(key, band, f"{mix}.cut").orderBy("size", "doc_id")
+    within = Window.partitionBy(key, "size", cut).orderBy(F.col("doc_id").asc_nulls_last())
     each, offset = F.col(f"{mix}.each"), F.col(f"{mix}.offset")
     start = (F.col(f"{mix}.ahead") + F.row_number().over(within) - 1) * each + offset
     boundaries = lambda x: F.call_function("div", x, F.lit(UNIT).cast("bigint"))
     return (
-        sized.join(chunks, [key, band, slot])
+        sized.join(chunks, [key, "size", cut])
         .withColumn(begin, start)
         .withColumn("copies", boundaries(F.col(begin) + each) - boundaries(F.col(begin)))
         .select(*keep, *added)
