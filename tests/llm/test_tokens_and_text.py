@@ -223,3 +223,18 @@ def test_licenses(spark):
     assert found.keys() == {p for p, c in best.items() if c >= licenses.MIN_COSINE}
     assert all(abs(best[p] - c) < 1e-6 for p, c in found.items())
     assert licenses.scan_licenses(files.limit(0), licenses.template_table(spark)).count() == 0
+
+
+def test_wrapped_headers_and_whole_licences(spark):
+    mit, gpl = [max((t for n, t in licenses.TEMPLATES if n == name), key=len) for name in ("MIT", "GPL-3.0")]
+    short = "Licensed under CC BY-NC 4.0."
+    wrap = lambda t, n, mark="": "\n".join(mark + " ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    rng = random.Random(3)
+    other = ["\n".join(" ".join(f"q{rng.randrange(500)}" for _ in range(9)) for _ in range(6)) for _ in range(40)]
+    rows = [("/p/1", wrap(gpl, 7, "# ") + "\n" + other[0]), ("/p/2", other[1] + "\n\n" + wrap(gpl, 9, " * ") + "\n\n" + other[2]),
+            ("/q/3", wrap(mit, 11)), ("/q/r/4", other[3]), ("/r/5", other[4] + "\n" + wrap(short, 2)), ("/r/6", other[5])]
+    rows[2] = ("/q/3", rows[2][1].replace("\nassociated", "\n\nassociated"))
+    rows += [(f"/n/{k}", x) for k, x in enumerate(other[6:])]
+    files = spark.createDataFrame(rows, "path string, text string")
+    found = {r.path: (r.license, r.most) for r in licenses.license_matches(files, licenses.template_table(spark)).collect()}
+    assert found == {"/p/1": ("GPL-3.0", True), "/p/2": ("GPL-3.0", False), "/q/3": ("MIT", True), "/r/5": ("CC-BY-NC-4.0", False)}

@@ -9,7 +9,7 @@ from vigilframe.llm.common import let, query, stage, table
 MIN_COSINE = 0.8
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 TERM = r"[\p{L}\p{N}]+(?:\.[\p{N}]+)*"
-#: (licence, text): what headers and licence files are compared with.
+#: (licence, text): headers, notices and licence texts that files are compared with.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
@@ -21,6 +21,15 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MIT", "MIT License Copyright (c) Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("BSD-3-Clause", "Copyright (c) All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 ]
 
 
@@ -33,25 +42,65 @@ def template_table(spark, templates=TEMPLATES) -> DataFrame:
     return spark.createDataFrame([(k, *t) for k, t in enumerate(templates)], "template int, license string, text string")
 
 
+def text_units(text: Column, vocabulary: list[str], least: float) -> Column:
+    """What is compared of a text, as an array of (t: distinct terms, most: has it more than half of the lines with terms).
+
+    The units are each line, the whole text, and blocks of consecutive lines: paragraphs (up to a line
+    without terms), and runs of lines of which at least the share ``least`` of the terms is in
+    ``vocabulary``, once up to a line without terms and once over those, so that a wrapped header is found
+    above code and a licence of several paragraphs below a title.
+    """
+    def of(ls: Column) -> Column:
+        empty = lambda x: F.size(x.t) == 0
+        strange = lambda x: ~empty(x) & ~x.near
+        filled = F.filter(ls, lambda x: ~empty(x))
+        unit = lambda t, lines: F.struct(t.alias("t"), (lines * 2 > F.size(filled)).alias("most"))
+
+        def blocks(stop) -> Column:
+            """Blocks between the lines at which ``stop`` is true."""
+            at = F.concat(F.filter(F.transform(ls, lambda x, i: F.when(stop(x), i).otherwise(F.lit(-1))), lambda i: i >= 0), F.array(F.size(ls)))
+
+            def cut(ends: Column) -> Column:
+                begin = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.get(ends, F.greatest(j - 1, F.lit(0))) + 1)
+                return F.transform(ends, lambda e, j: F.filter(F.slice(ls, begin(j) + 1, F.greatest(e - begin(j), F.lit(0))), lambda x: ~empty(x)))
+
+            return F.filter(let(at, cut), lambda b: F.size(b) > 1)
+
+        runs = F.concat(
+            blocks(empty), blocks(lambda x: empty(x) | strange(x)), blocks(strange), blocks(lambda x: F.lit(False))
+        )
+        together = lambda b: F.array_distinct(F.flatten(F.transform(b, lambda x: x.t)))
+        return F.concat(
+            F.transform(filled, lambda x: unit(x.t, F.lit(1))), F.transform(runs, lambda b: unit(together(b), F.size(b)))
+        )
+
+    def line(t: Column) -> Column:
+        known = F.size(F.filter(t, lambda w: w.isin(vocabulary)))
+        return F.struct(t.alias("t"), ((F.size(t) > 0) & (known >= F.size(t) * least - 1e-9)).alias("near"))
+
+    return let(F.transform(F.split(text, "\n"), lambda x: let(terms(x), line)), of)
+
+
 def license_matches(files: DataFrame, templates: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """(path, license, cosine): the best match of each file that has one of ``min_cosine`` or more.
+    """(path, license, cosine, most): the best match of each file that has one of ``min_cosine`` or more.
 
-    Each line is compared as a header, and files named as licence files are compared as a whole too.
-    Vectors hold every distinct word with its inverse document frequency over all lines of all files;
-    words of no template get the largest weight, so a line can only match if at least the square of
-    ``min_cosine`` of its words are template words.  Only those lines are taken apart into rows.
+    Each line, each block of consecutive lines and the whole of every file are compared (`text_units`).
+    ``most``: whether a unit that matches has more than half of the text's lines with terms.
+    Vectors hold every distinct word with its inverse document frequency over all lines of all files, and
+    over the whole of files named as licence files; words of no template get the largest weight, so a unit can only match if at least the square of ``min_cosine`` of its words
+    are template words.  Only those units are taken apart into rows.
     """
     vocabulary = sorted({t for row in templates.select(terms(F.col("text")).alias("t")).collect() for t in row.t})
-    known = F.array(*[F.lit(w) for w in vocabulary])
+    least = min_cosine * min_cosine
     text = F.coalesce("text", F.lit(""))
     whole = F.when(F.rlike("path", F.lit(LICENSE_FILE)), F.array(text)).otherwise(F.array().cast("array<string>"))
-    units = files.select("path", F.explode(F.concat(F.split(text, "\n"), whole)).alias("unit"))
-    units = units.select("path", terms(F.col("unit")).alias("t")).where(F.size("t") > 0).withColumn(
-        "k", F.array_intersect("t", known)
-    )
+    known = F.filter("t", lambda w: w.isin(vocabulary))
+    lines = files.select(F.explode(F.concat(F.split(text, "\n"), whole)).alias("unit")).select(terms(F.col("unit")).alias("t"))
+    lines = lines.where(F.size("t") > 0).withColumn("k", known)
+    units = files.select("path", F.explode(text_units(text, vocabulary, least)).alias("u")).select("path", "u.*").withColumn("k", known)
     # The table of frequencies is as long as the templates' vocabulary.
     counted = stage(
-        units.select(F.explode(F.concat(F.array(F.lit("")), "k")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")),
+        lines.select(F.explode(F.concat(F.array(F.lit("")), "k")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")),
         "term-counts",
     )
     total = counted.where("term = ''").agg(F.max("df")).first()[0] or 0
@@ -65,24 +114,26 @@ def license_matches(files: DataFrame, templates: DataFrame, min_cosine: float =
     parts = F.broadcast(parts.join(norms, "template").groupBy("term").agg(
         F.first("w").alias("w"), F.collect_list(F.struct("template", "license", "norm")).alias("in")
     ))  # one row for each word of the templates
-    near = units.where(F.size("k") >= F.size("t") * (min_cosine * min_cosine) - 1e-9)
-    near = near.select("path", F.array_sort("t").alias("t"), (F.size("t") - F.size("k")).alias("others"), "k").distinct()
-    rows = near.select("path", F.xxhash64("t").alias("unit"), "others", F.explode("k").alias("term")).join(parts, "term")
+    near = units.where(F.size("k") >= F.size("t") * least - 1e-9).select(
+        "path", F.xxhash64(F.array_sort("t")).alias("unit"), (F.size("t") - F.size("k")).alias("others"), F.array_sort("k").alias("k"), "most"
+    )
+    near = near.groupBy("path", "unit", "others", "k").agg(F.max("most").alias("most"))
+    rows = near.select("path", "unit", "others", "most", F.explode("k").alias("term")).join(parts, "term")
     scores = (
-        rows.groupBy("path", "unit", "others")
+        rows.groupBy("path", "unit", "others", "most")
         .agg(F.sum(F.col("w") * F.col("w")).alias("square"), F.collect_list(F.struct("w", "in")).alias("terms"))
         .select(
-            "path", (F.col("square") + F.col("others") * idf(F.lit(0)) * idf(F.lit(0))).alias("square"), F.explode("terms").alias("x"), "unit",
+            "path", (F.col("square") + F.col("others") * idf(F.lit(0)) * idf(F.lit(0))).alias("square"), F.explode("terms").alias("x"), "unit", "most",
         )
-        .select("path", "unit", "square", (F.col("x.w") * F.col("x.w")).alias("ww"), F.explode("x.in").alias("m"))
-        .groupBy("path", "unit", "square", "m")
+        .select("path", "unit", "most", "square", (F.col("x.w") * F.col("x.w")).alias("ww"), F.explode("x.in").alias("m"))
+        .groupBy("path", "unit", "most", "square", "m")
         .agg(F.sum("ww").alias("dot"))
-        .select("path", F.col("m.template").alias("template"), F.col("m.license").alias("license"), F.round(F.col("dot") / (F.sqrt("square") * F.col("m.norm")), 9).alias("cosine"))
+        .select("path", "most", F.col("m.template").alias("template"), F.col("m.license").alias("license"), F.round(F.col("dot") / (F.sqrt("square") * F.col("m.norm")), 9).alias("cosine"))
         .where(F.col("cosine") >= min_cosine)
     )
     return (
-        scores.groupBy("path").agg(F.max(F.struct("cosine", -F.col("template"), "license")).alias("best"))
-        .select("path", "best.license", "best.cosine")
+        scores.groupBy("path").agg(F.max(F.struct("cosine", -F.col("template"), "license")).alias("best"), F.max("most").alias("most"))
+        .select("path", "best.license", "best.cosine", "most")
     )
 
 
