@@ -238,3 +238,13 @@ def test_wrapped_headers_and_whole_licences(spark):
     files = spark.createDataFrame(rows, "path string, text string")
     found = {r.path: (r.license, r.most) for r in licenses.license_matches(files, licenses.template_table(spark)).collect()}
     assert found == {"/p/1": ("GPL-3.0", True), "/p/2": ("GPL-3.0", False), "/q/3": ("MIT", True), "/r/5": ("CC-BY-NC-4.0", False)}
+
+
+def test_licence_files_are_chosen_by_content(spark, tmp_path):
+    mit = "\n".join(max((t for n, t in licenses.TEMPLATES if n == "MIT"), key=len).split(". "))
+    filler = "\n".join(f"zq{k} zr{k}" for k in range(9))
+    rows = [(13, mit, "a"), (14, filler, "a"), (20, filler + "\nReleased under the MIT License.", "b"), (21, filler, "b"), (None, filler, "b")]
+    docs = spark.createDataFrame([(i, x, "en", s) for i, x, s in rows], "doc_id bigint, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.license, r.origin) for r in licenses.op6_license_scan(spark, str(tmp_path)).collect()}
+    assert got == {13: ("MIT", "own"), 14: ("MIT", "directory"), 20: ("MIT", "own"), 21: (None, None), None: (None, None)}

@@ -158,7 +158,7 @@ def scan_licenses(
 
     ``origin``: own, directory (inherited) or null.  A file without a match of its own inherits from the
     nearest directory at or above its own that holds a licence file: a matched file of which
-    ``is_license`` (by default, its name) is true; of several the first path counts.  Directories are joined
+    ``is_license`` (by default, its name; also of ``most``, see `license_matches`) is true; of several the first path counts.  Directories are joined
     with their ancestors once each, however many files they hold.  Null text: no match.  Rows with a null
     path are left out; rows with the same path are one file.  An empty table gives an empty result.
     """
@@ -193,8 +193,7 @@ def document_files(documents: DataFrame) -> DataFrame:
 
 @query("op6_license_scan")
 def op6_license_scan(spark, sf_dir):
-    """Documents have no file names: those numbered a multiple of 10 play the licence files."""
+    """Documents have no file names: those of which a licence is most of the text are the licence files."""
     files = document_files(table(spark, sf_dir, "documents"))
-    number = F.regexp_extract("path", r"[^/]*$", 0).try_cast("bigint")
-    found = scan_licenses(files, template_table(spark), is_license=number % 10 == 0)
+    found = scan_licenses(files, template_table(spark), is_license=F.col("most"))
     return found.select(F.regexp_extract("path", r"[^/]*$", 0).try_cast("bigint").alias("doc_id"), "path", "license", "origin", "cosine")
