@@ -88,6 +88,22 @@ def test_jaccard_repeated_rows_nulls_and_empty(spark):
     assert jaccard_join.keep_one_of_each(frame(spark, [])).count() == 0
 
 
+def test_spare_counts_are_spread_over_buckets():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    batches = [pa.record_batch([pa.array([prose(rng, 12, 9999) for _ in range(1000)])], ["text"]) for _ in range(4)]
+    held, sets = {}, set()
+    for out in jaccard_join._dealt(batches, 16):
+        for bucket, kind, data in zip(*[out.column(c).to_pylist() for c in range(3)]):
+            if kind == 1:
+                rows = np.frombuffer(data, jaccard_join._SIGNED)
+                held[bucket] = held.get(bucket, 0) + len(rows)
+                sets |= set(rows["node"].tolist())
+    assert len(sets) == 4000 and len(held) == 16 and max(held.values()) < 2 * sum(held.values()) / 16
+
+
 def test_region_join_finds_all_components():
     import numpy as np
 
