@@ -88,6 +88,16 @@ def test_jaccard_repeated_rows_nulls_and_empty(spark):
     assert jaccard_join.keep_one_of_each(frame(spark, [])).count() == 0
 
 
+def test_jaccard_set_without_id_bridges_others(spark):
+    ws = [f"v{k}" for k in range(120)]
+    near = lambda n: " ".join(["y" + w if k < n else w for k, w in enumerate(ws)])
+    rows = [(8, near(0), "s"), (None, near(9), "s"), (None, near(9), "s"), (6, near(16), "s"), (None, "q r s t u v w", "s"), (7, None, "s")]
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.link_components(frame(spark, rows)).collect()}
+    assert got == {(8, 6), (None, 6), (6, 6), (None, None), (7, 7)}
+    alone = jaccard_join.link_components(frame(spark, [rows[0], rows[3]])).collect()
+    assert {(r.doc_id, r.component_id) for r in alone} == {(8, 8), (6, 6)}
+
+
 def test_spare_counts_are_spread_over_buckets():
     import numpy as np
     import pyarrow as pa
