@@ -180,9 +180,12 @@ def window_digests(windows: DataFrame) -> DataFrame:
         F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.sort_array(F.collect_list("p")).alias("p")
     )
     joined = lambda name: F.array_join(F.transform("p", lambda x: x[name]), "")
+    # Joined once: a conversation is one row here.
+    loss = let(joined("loss"), lambda x: F.struct(F.length(x).cast("bigint").alias("chars"), F.sha2(x, 256).alias("sha256")))
     return whole.select(
-        "conv_id", "n_turns", F.sha2(joined("turns"), 256).alias("turns_sha256"),
-        F.length(joined("loss")).cast("bigint").alias("loss_chars"), F.sha2(joined("loss"), 256).alias("loss_sha256"),
+        "conv_id", "n_turns", F.sha2(joined("turns"), 256).alias("turns_sha256"), "formatted_chars", loss.alias("loss")
+    ).select(
+        "conv_id", "n_turns", "turns_sha256", F.col("loss.chars").alias("loss_chars"), F.col("loss.sha256").alias("loss_sha256"),
         "formatted_chars",
     )
 
