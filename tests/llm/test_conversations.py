@@ -3,13 +3,14 @@
 import collections
 import hashlib
 import heapq
+import heapq
 import random
 import re
 import zlib
 
 import pytest
 
-from vigilframe.llm import prefix_trie as trie
+from vigilframe.llm import prefix_trie as trie, repair
 from vigilframe.llm.sequence import digest_ids, numbered
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -112,3 +113,122 @@ def test_numbered_splits_groups(spark):
     ids = spark.createDataFrame([(k, i) for k in (1, 2) for i in range(3000 if k == 1 else 2)], "k bigint, i bigint").repartition(7)
     digests = {r.k: r.sha256 for r in digest_ids(ids, ["k"], "i", most=64).collect()}
     assert digests == {1: sha(",".join(map(str, range(3000)))), 2: sha("0,1")}
+
+
+def damage(rows):
+    out = collections.defaultdict(list)
+    for c, turn, role, text in rows:
+        out[c] += []
+        code = zlib.crc32(f"{' ' if c is None else c}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        text = "" if code == 1 else re.sub("[.!?]", "", text) if code == 2 else text
+        row = (turn is not None, turn or 0, "user" if code == 4 else role, text)
+        out[c] += [row] * (0 if code == 0 else 2 if code == 3 else 1)
+    key = lambda r: (*r[:3], sha(f"{len(r[2])}:{r[2]}{r[3]}"))
+    return {c: sorted(v, key=key) for c, v in out.items()}
+
+
+def brute_repair(turns):
+    """Dijkstra over (row, state) with (cost, audit, repaired) as distance."""
+    faults, seen = [], set()
+    for _, _, role, text in turns:
+        found = WORDS.findall(text)
+        faults.append("blank" if not found else "duplicate" if (role, text) in seen else "truncated" if found[-1][-1] not in ".!?" else "")
+        seen.add((role, text))
+    heap, done = [(0, "", 0, "", [])], set()
+    while True:
+        cost, audit, i, state, made = heapq.heappop(heap)
+        if (i, state) in done:
+            continue
+        done.add((i, state))
+        if i == len(turns) and state in ("", "a"):
+            break
+        next_role = "assistant" if state == "u" else "user"
+        heapq.heappush(heap, (cost + 3, audit + "I", i, next_role[0], [*made, f"{next_role}:"]))
+        if i == len(turns):
+            continue
+        _, _, role, text = turns[i]
+        heapq.heappush(heap, (cost + 4, audit + "D", i + 1, state, made))
+        if faults[i] not in ("blank", "duplicate"):
+            stay = cost + 3 * (faults[i] == "truncated")
+            heapq.heappush(heap, (stay + 3, audit + "R", i + 1, next_role[0], [*made, f"{next_role}:{text}"]))
+            if role[:1] == next_role[0] or role[:1] == "s" and state == "":
+                heapq.heappush(heap, (stay, audit + "K", i + 1, role[0], [*made, f"{role}:{text}"]))
+    numbers = [t for known, t, _, _ in turns if known]
+    gaps = max(numbers) - min(numbers) + 1 - len(set(numbers)) if numbers else 0
+    illegal = sum(a[2][:1] + b[2][:1] not in ("su", "ua", "au") for a, b in zip(turns, turns[1:]))
+    counts = [faults.count(f) for f in ("blank", "duplicate", "truncated")]
+    return (gaps, *counts, illegal, cost, audit, sha("\n".join(made)))
+
+
+def repair_rows(seed, n, long=0):
+    rng = random.Random(seed)
+    roles = ["user", "assistant", "system", "user", "assistant", "tool", "", "u", "ass", None]
+    texts = ["a.", "b", "c?", " ", "", "d! ", "e\n", "f.g", None, "ü.", " "]
+    rows = []
+    for c in range(n):
+        for t in range(long or rng.randrange(9)):
+            rows.append((c, rng.choice([t, t, t, 2 * t, None]), rng.choice(roles), rng.choice(texts) if rng.random() < 0.4 else f"t{rng.randrange(99)}."))
+    return rows
+
+
+def checked_repair(spark, rows):
+    got = {r.conv_id: tuple(r)[1:] for r in repair.repair_damaged(frame(spark, rows)).collect()}
+    want = {c: brute_repair(v) for c, v in damage(rows).items()}
+    assert got == want
+
+
+def test_repair(spark):
+    rows = repair_rows(1, 150) + [(400, t, r, f"{t}.") for t in range(30) for r in ("user",)]
+    rows += [(500, 1, "user", "same.")] * 50 + [(None, 1, "user", "x."), (None, None, None, None), (-3, None, "user", "y")]
+    checked_repair(spark, rows)
+
+
+def test_repair_splits_long_conversations(spark, monkeypatch):
+    monkeypatch.setattr(repair, "CHUNK_ROWS", 5)
+    rows = repair_rows(2, 4, long=150) + [(9, t, "assistant", f"{t}") for t in range(200)]
+    checked_repair(spark, rows + [(8, t, ("user", "assistant")[t % 2], f"{t}." * 9) for t in range(300)])
+
+
+def test_repair_of_nothing(spark):
+    assert repair.repair_damaged(frame(spark, [])).count() == 0
+    dropped = next(c for c in range(999) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
+    checked_repair(spark, [(dropped, 0, "user", "a.")])
+
+
+def test_search_is_exact_and_bounded():
+    rng = random.Random(4)
+    shapes = ["u", "a", "s", "t", ""]
+    for k in range(60):
+        rows = [(rng.random() < 0.2, rng.choice([1, 1, 1, 3]), rng.choice(shapes[: 2 + k % 4]), rng.random() < 0.5) for _ in range(k % 12)]
+        for start in repair.STATES:
+            best, _ = repair.cheapest_edits(rows, start)
+            nodes = {start: (0, "")}
+            for doomed, n, initial, cut in rows:
+                nodes = inserted(nodes)
+                after = {}
+                for s, (cost, audit) in nodes.items():
+                    tail = "D" * (n - 1)
+                    moves = [(s, cost + 4 * n, audit + "D" + tail)]
+                    if not doomed:
+                        stay = cost + 3 * cut + 4 * (n - 1)
+                        moves.append((repair.FITTING[s][0], stay + 3, audit + "R" + tail))
+                        if initial in repair.TAKES[s]:
+                            moves.append((repair.TAKES[s][initial], stay, audit + "K" + tail))
+                    for to, c, a in moves:
+                        after[to] = min(after.get(to, (10**9, "")), (c, a))
+                nodes = after
+            nodes = inserted(nodes)
+            assert [nodes.get(s) for s in repair.STATES] == best
+    for initials in ("u", "a", "t", "ua", "uua", "uat", "s"):
+        for cut in (False, True):
+            rows = [(False, 1, initials[i % len(initials)], cut and i % 3 > 0) for i in range(repair.CHUNK_ROWS)]
+            assert max(repair.cheapest_edits(rows, s)[1] for s in repair.STATES) < 8 * len(rows)
+
+
+def inserted(nodes):
+    for _ in range(4):
+        for s, (cost, audit) in list(nodes.items()):
+            to = repair.FITTING[s][0]
+            nodes[to] = min(nodes.get(to, (10**9, "")), (cost + 3, audit + "I"))
+    return nodes
