@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilframe.functions import unit_or_none
+from vigilframe.operators.ordered import plain_unions
 
 
 def canonical_events(
@@ -19,6 +20,7 @@ def canonical_events(
     ``seq`` breaks ties between equal timestamps: it is the arrival order and must be unique per
     host.  ``unit_name`` is the unit, or '<none>'.
     """
+    plain_unions(df.sparkSession)
     host = hostname if hostname is not None else (
         F.col("hostname") if "hostname" in df.columns else F.lit("")
     )

@@ -11,6 +11,8 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from vigilframe.operators.ordered import plain_unions
+
 HOUR = 3_600_000_000
 WINDOW = 6 * HOUR
 
@@ -49,6 +51,7 @@ def all_sql() -> dict[str, str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    plain_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
