@@ -345,12 +345,14 @@ def profile_surprisal(
     category: str = "template_id",
     slot_us: int = SLOT_US,
     target_rows: int = CHUNK_ROWS,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``profile_weight`` and ``surprisal_profile``: surprise against the unit's decayed
     long-term profile as of this event (itself included); NULL while the profile is not trusted.
 
     A unit's profile is a running sum of 2^(bucket/half-life); dividing by the event's own factor
-    gives the decayed weight.  Profiles are exact; negligible weights are not pruned.
+    gives the decayed weight.  Profiles are exact; negligible weights are not pruned.  ``initial``
+    (hostname, unit_name, template, weight, last_bucket): profiles of the time before, which grow on.
     """
     host, unit = "hostname", "unit_name"
     half_life = cfg.half_life_buckets(bucket_us // 1_000_000)
@@ -359,13 +361,13 @@ def profile_surprisal(
     )
     keep = [c for c in tev.columns]
     # The exponent must start near the data: 2^(absolute bucket / half-life) overflows.
-    base = ev.groupBy(host).agg(F.min("_b").alias("_b0"))
-    ev = ev.join(base, host).withColumn(
-        "_w", F.pow(F.lit(2.0), (F.col("_b") - F.col("_b0")) / F.lit(half_life))
-    )
+    base = F.broadcast(ev.agg(F.min("_b").alias("_b0")))
+    ev = ev.crossJoin(base).withColumn("_w", F.pow(F.lit(2.0), (F.col("_b") - F.col("_b0")) / F.lit(half_life)))
     key = [host, unit, category]
     parts = ev.groupBy(*key, CHUNK).agg(F.sum("_w").alias("_wt"))
     first_chunk = parts.groupBy(*key).agg(F.min(CHUNK).alias(CHUNK))
+    if initial is not None:
+        first_chunk = first_chunk.join(initial.select(*key), key, "left_anti")
     unit_parts = parts.groupBy(host, unit, CHUNK).agg(F.sum("_wt").alias("_wu"))
     fresh = first_chunk.groupBy(host, unit, CHUNK).agg(F.count(F.lit(1)).alias("_fresh"))
     unit_side = carry_in(
@@ -381,15 +383,26 @@ def profile_surprisal(
     rows = (
         ev.withColumns({"_lt": F.sum("_w").over(run_cat), "_rn": F.count(F.lit(1)).over(run_cat)})
         .join(cat_side, [*key, CHUNK])
-        .withColumn("_new", (F.col("_c__wt").isNull() & (F.col("_rn") == 1)).cast("bigint"))
+        .join(first_chunk.withColumn("_first", F.lit(True)), [*key, CHUNK], "left")
+        .withColumn("_new", (F.col("_first").isNotNull() & (F.col("_rn") == 1)).cast("bigint"))
         .withColumn("_lt", F.col("_lt") + F.coalesce(F.col("_c__wt"), F.lit(0.0)))
     )
     rows = rows.withColumns({"_lu": F.sum("_w").over(run_unit), "_lk": F.sum("_new").over(run_unit)}).join(
         unit_side, [host, unit, CHUNK]
     )
+    kinds = F.col("_lk") + F.coalesce(F.col("_c__fresh"), F.lit(0))
+    if initial is not None:
+        grown = F.pow(F.lit(2.0), (F.col("_last") - F.col("_b0")) / F.lit(half_life))
+        units = initial.groupBy(host, unit).agg(
+            F.sum("weight").alias("_u0"), F.count(F.lit(1)).alias("_k0"), F.max("last_bucket").alias("_last")
+        )
+        rows = rows.join(units, [host, unit], "left")
+        rows = rows.join(initial.select(*key, F.col("weight").alias("_t0")), key, "left").withColumns(
+            {"_lu": F.col("_lu") + F.coalesce(F.col("_u0") * grown, F.lit(0.0)), "_lt": F.col("_lt") + F.coalesce(F.col("_t0") * grown, F.lit(0.0))}
+        )
+        kinds = kinds + F.coalesce("_k0", F.lit(0))
     total = (F.col("_lu") + F.coalesce(F.col("_c__wu"), F.lit(0.0))) / F.col("_w")
     weight = F.col("_lt") / F.col("_w")
-    kinds = F.col("_lk") + F.coalesce(F.col("_c__fresh"), F.lit(0))
     s = surprisal(F.floor(weight + 0.5), F.floor(total + 0.5), kinds, alpha)
     return rows.select(
         *keep,

@@ -10,6 +10,7 @@ from vigilframe.config import AnalysisConfig, BaselineConfig, QuietRule
 from vigilframe.operators import baselines as B
 from vigilframe.operators import entropy as E
 from vigilframe.operators import filters as FL
+from vigilframe.operators import live as L
 from vigilframe.operators import scoring as SC
 from vigilframe.operators import signals as S
 from vigilframe.operators.ordered import stage
@@ -362,6 +363,83 @@ def baseline_rate_z(spark, d):
     return z.select("hostname", "seq", r6("slot_z").alias("slot_z"), r6("any_z").alias("any_z"))
 
 
+_LIVE = EV + """,
+lb0 AS (SELECT hostname, unit, bucket, CAST((bucket % 24) * 2 + CASE WHEN ((bucket // 24) + 4) % 7 IN (0, 6) THEN 1 ELSE 0 END AS INTEGER) AS slot
+  FROM ev GROUP BY hostname, unit, bucket),
+lb AS (SELECT * FROM lb0 UNION ALL SELECT hostname, unit, bucket, 48 FROM lb0),
+lc AS (SELECT hostname, unit, template_id, bucket, count(*) AS c FROM ev GROUP BY ALL),
+lf AS (SELECT hostname, unit, template_id, min(bucket) AS f FROM lc GROUP BY ALL),
+lq AS (SELECT c.hostname, c.unit, c.template_id, c.bucket, b.slot FROM lc c JOIN lb b USING (hostname, unit, bucket)),
+lo AS (
+  SELECT q.hostname, q.unit, q.template_id, q.bucket, q.slot, coalesce(c.c, 0) AS v,
+    pow(0.5, (max(b.bucket) OVER (PARTITION BY q.hostname, q.unit, q.template_id, q.bucket, q.slot) - b.bucket) / 168.0) AS w
+  FROM lq q JOIN lf f USING (hostname, unit, template_id)
+  JOIN lb b ON b.hostname = q.hostname AND b.unit = q.unit AND b.slot = q.slot AND b.bucket < q.bucket AND b.bucket >= f.f
+  LEFT JOIN lc c ON c.hostname = q.hostname AND c.unit = q.unit AND c.template_id = q.template_id AND c.bucket = b.bucket),
+lbins AS (SELECT hostname, unit, template_id, bucket, slot, v, sum(w) AS w FROM lo GROUP BY ALL),
+lcum AS (
+  SELECT *, sum(w) OVER k AS total, sum(w) OVER (k ORDER BY v) AS cw, lead(v) OVER (k ORDER BY v) AS nv
+  FROM lbins WINDOW k AS (PARTITION BY hostname, unit, template_id, bucket, slot)),
+lmed AS (
+  SELECT hostname, unit, template_id, bucket, slot, any_value(total) AS weight,
+    arg_min(CASE WHEN abs(cw - total / 2) < 1e-9 AND nv IS NOT NULL THEN (v + nv) / 2.0 ELSE v END, v)
+      FILTER (cw >= total / 2 OR abs(cw - total / 2) < 1e-9) AS median
+  FROM lcum GROUP BY ALL HAVING any_value(total) >= 60),
+ldev AS (
+  SELECT b.hostname, b.unit, b.template_id, b.bucket, b.slot, abs(b.v - m.median) AS v, sum(b.w) AS w
+  FROM lbins b JOIN lmed m USING (hostname, unit, template_id, bucket, slot) GROUP BY ALL),
+ldcum AS (
+  SELECT *, sum(w) OVER k AS total, sum(w) OVER (k ORDER BY v) AS cw, lead(v) OVER (k ORDER BY v) AS nv
+  FROM ldev WINDOW k AS (PARTITION BY hostname, unit, template_id, bucket, slot)),
+lmad AS (
+  SELECT hostname, unit, template_id, bucket, slot,
+    arg_min(CASE WHEN abs(cw - total / 2) < 1e-9 AND nv IS NOT NULL THEN (v + nv) / 2.0 ELSE v END, v)
+      FILTER (cw >= total / 2 OR abs(cw - total / 2) < 1e-9) AS mad
+  FROM ldcum GROUP BY ALL),
+lstat AS MATERIALIZED (SELECT * FROM lmed JOIN lmad USING (hostname, unit, template_id, bucket, slot)),
+lz AS (
+  SELECT e.hostname, e.seq, row_number() OVER (PARTITION BY e.hostname, e.unit, e.template_id, e.bucket ORDER BY e.ts_us, e.seq) AS cnt,
+    s.median AS sm, s.mad AS sd, a.median AS am, a.mad AS ad
+  FROM ev e JOIN lb0 b ON b.hostname = e.hostname AND b.unit = e.unit AND b.bucket = e.bucket
+  LEFT JOIN lstat s ON s.hostname = e.hostname AND s.unit = e.unit AND s.template_id = e.template_id AND s.bucket = e.bucket AND s.slot = b.slot
+  LEFT JOIN lstat a ON a.hostname = e.hostname AND a.unit = e.unit AND a.template_id = e.template_id AND a.bucket = e.bucket AND a.slot = 48),
+live AS (
+  SELECT hostname, seq, cnt, greatest(-50, least(50, (cnt - sm) / greatest(sd / 0.6745, sqrt(sm + 1), 1.0))) AS slot_z,
+    greatest(-50, least(50, (cnt - am) / greatest(ad / 0.6745, sqrt(am + 1), 1.0))) AS any_z,
+    sm IS NOT NULL AS has_slot, am IS NOT NULL AS has_any FROM lz)"""
+
+
+@query(
+    "live_rate_z",
+    f"""WITH {_LIVE} SELECT hostname, seq, cnt AS unit_bucket_count, CASE WHEN has_slot THEN round(slot_z, 6) + 0.0 END AS slot_z,
+  CASE WHEN has_any THEN round(any_z, 6) + 0.0 END AS any_z FROM live""",
+)
+def live_rate_z(spark, d):
+    z = L.live_rate_z(events(spark, d), HOUR, BASE)
+    return z.select("hostname", "seq", "unit_bucket_count", r6("slot_z").alias("slot_z"), r6("any_z").alias("any_z"))
+
+
+@query(
+    "merged_baselines",
+    f"""WITH {_BASELINE} SELECT hostname, unit, template_id, slot, n_bins, round(weight, 6) + 0.0 AS weight,
+  round(median, 6) + 0.0 AS median, round(mad, 6) + 0.0 AS mad FROM base""",
+)
+def merged_baselines(spark, d):
+    """Baselines learned in ten parts of the events, which end within hours."""
+    ev = events(spark, d)
+    low, high = ev.agg(F.min("ts_us"), F.max("ts_us")).first()
+    parts, state = 10, None
+    for k in range(parts):
+        cut = lambda i: low + (high + 1 - low) * i // parts
+        part = ev.where((F.col("ts_us") >= cut(k)) & (F.col("ts_us") < cut(k + 1)))
+        state = L.learn(L.unit_counts(part, HOUR), state, HOUR, BASE)
+    b = B.slot_statistics(L.learned_baselines(state, BASE))
+    return b.select(
+        "hostname", F.col("unit_name").alias("unit"), "template_id", "slot", F.size("bins").cast("bigint").alias("n_bins"),
+        r6("weight").alias("weight"), r6("median").alias("median"), r6("mad").alias("mad"),
+    )
+
+
 @query(
     "rate_source_mix",
     f"""WITH {_BZ} SELECT hostname, CASE WHEN slot_z IS NOT NULL THEN 'slot_baseline' WHEN any_z IS NOT NULL
