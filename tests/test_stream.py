@@ -1,56 +1,126 @@
+import random
 from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.scenario import BASE_US, journal_lines
-from vigilframe.config import AnalysisConfig
-from vigilframe.operators.baselines import fit_slot_baselines, fit_unit_profiles, trusted_baselines
+from vigilframe.config import AnalysisConfig, BaselineConfig
+from vigilframe.operators import live
+from vigilframe.operators.baselines import trusted_baselines
 from vigilframe.operators.events import canonical_events
+from vigilframe.operators.templates import assign_templates
 from vigilframe.plans.detect import detect_anomalies
 from vigilframe.sources.journal import parse_journal, split_parse_errors
-from vigilframe.streaming.detect import read_alerts, stream_detect
+from vigilframe.streaming.detect import read_alerts, read_dispositions, read_snapshots, stream_detect
+from vigilframe.streaming.store import restore_baselines, restored_state
 from vigilframe.streaming.windows import presence_sessions, tumbling_counts
 
 CFG = replace(AnalysisConfig(), learning_minutes=5)
+BASE = BaselineConfig(min_weight=40.0, profile_min_weight=60.0)
 
 
-@pytest.mark.parametrize("stored", [False, True])
-def test_stream_equals_batch(spark, tmp_path, stored):
-    """Micro-batches end within buckets and windows; ``stored``: with baselines and profiles of an earlier run."""
-    lines = [(i, text) for i, text in enumerate(journal_lines(seed=11)) ]
+@pytest.fixture(scope="module")
+def arriving(spark, tmp_path_factory):
+    """Events with templates that arrive out of order, some later than the window."""
+    rng = random.Random(3)
+    lines = [(i, text) for i, text in enumerate(journal_lines(seed=11))]
     good, _ = split_parse_errors(parse_journal(spark.createDataFrame(lines, "seq bigint, value string")))
-    good = good.where(F.col("ts_us") < BASE_US + 1_000_000_000).cache()
-    # No profile is trusted within this little data in the stream (it has no stored one).
-    from vigilframe.config import BaselineConfig
-
-    never = BaselineConfig(profile_min_weight=1e9)
-    known = {}
-    if stored:
-        first = detect_anomalies(good.where(F.col("ts_us") < BASE_US + 800_000_000), CFG, never)["templates"]
-        cfg = BaselineConfig(min_weight=50.0)
-        known = {
-            "base_cfg": cfg,
-            "baselines": fit_slot_baselines(first, CFG.bucket_us, cfg).cache(),
-            "profiles": fit_unit_profiles(first, CFG.bucket_us, cfg).cache(),
-        }
-        assert trusted_baselines(known["baselines"], known["profiles"], cfg).collect()[0].trusted
-    batch = detect_anomalies(good, CFG, **(known or {"base_cfg": never}))["anomalies"]
-    src = str(tmp_path / "in")
-    for i, (lo, hi) in enumerate([(0, 845_000_000), (845_000_000, 873_000_000), (873_000_000, 1_000_000_000)]):
-        part = good.where((F.col("ts_us") >= BASE_US + lo) & (F.col("ts_us") < BASE_US + hi))
-        part.coalesce(1).write.parquet(f"{src}/p{i}")
-    out = str(tmp_path / "out")
-    stream = (
-        spark.readStream.schema(good.schema).option("maxFilesPerTrigger", 1)
-        .option("recursiveFileLookup", True).parquet(src)
+    good = assign_templates(canonical_events(good.where(F.col("ts_us") < BASE_US + 1_000_000_000)))
+    held = {r.seq: r.ts_us + rng.choice([0, 0, 0, 0, 1, 3, 20, 90]) * 1_000_000 for r in good.select("seq", "ts_us").collect()}
+    order = {old: new for new, old in enumerate(sorted(held, key=lambda s: (held[s], s)))}
+    moved = spark.createDataFrame(list(order.items()), "seq bigint, arrival bigint")
+    path = str(tmp_path_factory.mktemp("arriving") / "events")
+    good.join(moved, "seq").withColumn("seq", F.col("arrival")).drop("arrival").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def source(spark, events, folder, cuts):
+    """A stream of the events in micro-batches that begin with the given arrivals."""
+    for k, (low, high) in enumerate(zip(cuts, [*cuts[1:], 1 << 40])):
+        events.where((F.col("seq") >= low) & (F.col("seq") < high)).coalesce(1).write.parquet(f"{folder}/p{k}")
+    return (
+        spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
+    )
+
+
+def entries(spark):
+    at = lambda s: BASE_US + s * 1_000_000
+    mutes = spark.createDataFrame(
+        [("alpha", "label-sync.service", at(100), at(400)), ("alpha", "ink-monitor.service", at(700), None)],
+        "hostname string, unit string, from_us bigint, until_us bigint",
+    )
+    own = spark.createDataFrame(
+        [("alpha", "unit", "badge-reader.service", at(300), at(420)), ("alpha", "pid", "333", at(0), None)],
+        "hostname string, kind string, key string, from_us bigint, until_us bigint",
     )
-    q = stream_detect(stream, out, str(tmp_path / "cp"), {"availableNow": True}, cfg=CFG, **known)
+    return mutes, own
+
+
+KEYS = ["hostname", "ts_us", "seq", "template_id", "suppressed_since_last"]
+
+
+def rows(df, *more):
+    return {tuple(r) for r in df.select(*KEYS, *more).collect()}
+
+
+def test_stream_equals_batch_for_any_cut(spark, tmp_path, arriving):
+    """Cuts within buckets and windows, mutes, self filter, late events, learning, and a stop in between."""
+    rng = random.Random(8)
+    n = arriving.count()
+    mutes, own = entries(spark)
+    mutes = mutes.join(arriving.select("unit", "template_id").distinct(), "unit")
+    options = dict(cfg=CFG, base_cfg=BASE, own_pids=(444,))
+    batch = detect_anomalies(arriving, CFG, BASE, suppressions=own, mutes=mutes, own_pids=(444,), learn=True, late=True)
+    cuts = [0, *sorted(rng.sample(range(n // 2, n), 2))]
+    folder, out, store = (str(tmp_path / x) for x in ("in", "out", "store"))
+
+    def run():
+        q = stream_detect(
+            stream, out, str(tmp_path / "cp"), {"availableNow": True}, mutes=lambda: mutes, suppressions=lambda: own, store=store,
+            save_us=60_000_000, **options,
+        )
+        q.awaitTermination()
+
+    stream = source(spark, arriving.where(F.col("seq") < cuts[2]), folder + "/a", cuts[:2])
+    stream = spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
+    run()
+    source(spark, arriving.where(F.col("seq") >= cuts[2]), folder + "/b", cuts[2:])
+    run()
+    level = F.round("breakdown.combined", 6)
+    want = rows(batch["anomalies"], "level", level)
+    assert want and rows(read_alerts(spark, out), "level", level) == want
+    held = lambda df: {tuple(r) for r in df.where("disposition <> 'normal'").select("seq", "disposition").collect()}
+    assert held(read_dispositions(spark, out)) == held(batch["scored"])
+    sources = {r.rate_source for r in batch["scored"].select("rate_source").distinct().collect()}
+    assert {"slot_baseline", "short_term"} <= sources
+
+    last = read_snapshots(spark, out, CFG.learning_us).orderBy(F.col("epoch").desc()).first()
+    stats = batch["stats"].first()
+    for name in ("events", "self_filtered", "muted", "quieted", "processed", "parse_errors"):
+        assert last[name] == stats[name], name
+    assert last.dropped_late == batch["scored"].where("dropped_late").count() > 0 and stats.self_filtered > 0 and stats.muted > 0
+
+    # What was saved on the way is a learned state that goes on.
+    state = restored_state(restore_baselines(spark, store, CFG.bucket_seconds, ""))
+    assert set(state) == {"hist", "known", "open", "profile"} and not state["hist"].isEmpty()
+    assert not restore_baselines(spark, store, CFG.bucket_seconds + 1, "").keys() - {"registry"}
+
+
+def test_stream_goes_on_from_a_learned_state(spark, tmp_path, arriving):
+    """Baselines learned before: no learning phase, and events judged by them from the start."""
+    half = arriving.where(F.col("ts_us") < BASE_US + 500_000_000)
+    rest = arriving.where(F.col("ts_us") >= BASE_US + 500_000_000)
+    state = live.learn(live.unit_counts(half, CFG.bucket_us), None, CFG.bucket_us, BASE)
+    assert trusted_baselines(live.learned_baselines(state, BASE), live.learned_profiles(state), BASE).first().trusted
+    batch = detect_anomalies(rest, CFG, BASE, learn=True, late=True, state=state)
+    n = rest.agg(F.min("seq")).first()[0]
+    stream = source(spark, rest, str(tmp_path / "in"), [0, n + 400])
+    q = stream_detect(stream, str(tmp_path / "out"), str(tmp_path / "cp"), {"availableNow": True}, cfg=CFG, base_cfg=BASE, state=state)
     q.awaitTermination()
-    cols = ["hostname", "ts_us", "seq", "level", "template_id", "suppressed_since_last", F.round("breakdown.combined", 6)]
-    want = {tuple(r) for r in batch.select(*cols).collect()}
-    got = {tuple(r) for r in read_alerts(spark, out).select(*cols).collect()}
-    assert want and got == want
+    want = rows(batch["anomalies"], "level")
+    assert want and rows(read_alerts(spark, str(tmp_path / "out")), "level") == want
+    assert batch["scored"].where("disposition = 'suppressed_learning'").isEmpty()
 
 
 def test_native_windows(spark, tmp_path):

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -198,9 +199,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_SCRATCH: list[str] = []
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, wherever it lies."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What is staged inside goes to a folder of its own, which is removed at the end."""
+    _SCRATCH.append(os.path.join(checkpoint_dir(spark), f"scratch-{uuid.uuid4().hex}"))
+    try:
+        yield
+    finally:
+        remove_path(spark, _SCRATCH.pop())
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write an intermediate result once and read it back (columnar, survives lost executors)."""
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(_SCRATCH[-1] if _SCRATCH else checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    plain_unions(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

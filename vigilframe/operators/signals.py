@@ -49,6 +49,7 @@ def sliding_window_stats(
     category: str = "template_id",
     slot_us: int = SLOT_US,
     target_rows: int = CHUNK_ROWS,
+    outside: str | None = None,
 ) -> DataFrame:
     """Window statistics as seen by each event (itself included), in arrival order.
 
@@ -58,8 +59,10 @@ def sliding_window_stats(
     (host, category, chunk) and by (host, chunk); earlier chunks arrive as per-chunk sums.
 
     ``max_events`` additionally expires the oldest event when the window would hold more rows.
+    ``outside`` names a boolean column of events that see the window but never enter it.
     """
     host = "hostname"
+    enters = F.lit(True) if outside is None else ~F.col(outside)
     cols = [c for c in tev.columns if c != CHUNK]
     payload = [c for c in cols if c not in (host, category, "ts_us", "seq")]
     base = tev.select(*cols)
@@ -68,7 +71,7 @@ def sliding_window_stats(
             (F.col("ts_us") + window_us).alias("t"), F.lit(2).alias("kind"), F.lit(0).cast("bigint").alias("pos")
         )
     else:
-        base = stage(_with_capacity_exit(base, window_us, max_events, slot_us, target_rows), "exits")
+        base = stage(_with_capacity_exit(base, window_us, max_events, slot_us, target_rows, enters), "exits")
         leaves = F.col("_exit")
 
     adds = base.select(
@@ -77,12 +80,12 @@ def sliding_window_stats(
         F.col("ts_us").alias("_t"),
         F.lit(1).alias("_kind"),
         F.col("seq").alias("_pos"),
-        F.lit(1).cast("bigint").alias("_d"),
+        F.when(enters, 1).otherwise(0).cast("bigint").alias("_d"),
         F.struct("seq", *payload).alias("_row"),
     )
     # Departures at one instant only matter as a sum per category: combine before the shuffle.
     expiries = (
-        base.select(host, category, leaves.alias("_x"))
+        base.where(enters).select(host, category, leaves.alias("_x"))
         .groupBy(host, category, F.col("_x.t").alias("_t"), F.col("_x.kind").alias("_kind"), F.col("_x.pos").alias("_pos"))
         .agg((-F.count(F.lit(1))).cast("bigint").alias("_d"))
         .withColumn("_row", F.lit(None).cast(adds.schema["_row"].dataType))
@@ -160,16 +163,16 @@ def sliding_window_stats(
 
 
 def _with_capacity_exit(
-    base: DataFrame, window_us: int, max_events: int, slot_us: int, target_rows: int
+    base: DataFrame, window_us: int, max_events: int, slot_us: int, target_rows: int, enters: Column
 ) -> DataFrame:
     """``_exit``: when an event leaves, by age or because ``max_events`` later ones arrived."""
     numbered = prefix_sums(
         with_chunks(base, ["hostname"], slot_us=slot_us, target_rows=target_rows),
         ["hostname"],
         ["ts_us", "seq"],
-        {"_rn": F.lit(1).cast("bigint")},
+        {"_rn": F.when(enters, 1).otherwise(0).cast("bigint")},
     ).drop(CHUNK)
-    pusher = numbered.select(
+    pusher = numbered.where(enters).select(
         "hostname",
         (F.col("_rn") - max_events).alias("_rn"),
         F.col("ts_us").alias("_pt"),

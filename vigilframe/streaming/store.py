@@ -51,11 +51,12 @@ def load_tables(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], d
 
 def checkpoint_baselines(
     spark: SparkSession, path: str, baselines: DataFrame, profiles: DataFrame, registry: DataFrame,
-    bucket_seconds: int, hostname: str, last_snapshot_us: int,
+    bucket_seconds: int, hostname: str, last_snapshot_us: int, state: dict[str, DataFrame] | None = None,
 ) -> str:
-    """Replace the whole learned set atomically."""
+    """Replace the whole learned set atomically; ``state`` (see `operators.live`) lets it be learned on."""
+    learned = {f"state_{n}": df for n, df in (state or {}).items()}
     return save_tables(
-        spark, path, {"baselines": baselines, "profiles": profiles, "registry": registry},
+        spark, path, {"baselines": baselines, "profiles": profiles, "registry": registry, **learned},
         {"bucket_seconds": bucket_seconds, "hostname": hostname, "last_snapshot_us": last_snapshot_us},
     )
 
@@ -77,6 +78,12 @@ def restore_baselines(
     return tables
 
 
+def restored_state(found: dict[str, DataFrame] | None) -> dict[str, DataFrame] | None:
+    """The learned state in what `restore_baselines` found; None if it holds none."""
+    state = {n.removeprefix("state_"): df for n, df in (found or {}).items() if n.startswith("state_")}
+    return state or None
+
+
 def checkpoint_notes(spark: SparkSession, path: str, notes: DataFrame) -> str:
     return save_tables(spark, path, {"notes": notes}, {"kind": "notes"})
 
