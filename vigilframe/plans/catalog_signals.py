@@ -512,13 +512,6 @@ def disposition_counts(spark, d):
     )
 
 
-@query("anomaly_records")
-def anomaly_records(spark, d):
-    ev = table(spark, d, "events").select(F.col("event_id").alias("seq"), msg().alias("message"))
-    out = SC.build_anomaly_events(_folded(spark, d).join(ev, "seq").withColumn("template_id", F.xxhash64("template_id")))
-    return SC.compact_anomaly(out)
-
-
 @query(
     "learning_phase",
     f"""WITH {EV}, a AS (SELECT *, ts_us - min(ts_us) OVER (PARTITION BY hostname) AS age FROM ev)
