@@ -165,6 +165,16 @@ def test_decontamination(spark):
     assert decontaminate.drop_contaminated(frame(spark, docs), benchmark.limit(0)).count() == len(docs)
 
 
+def test_mix_of_repeated_ids_is_repeatable(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 30), rng.choice(["a", "b"])) for i in range(60) for _ in range(4)]
+    rows = [(i, t, "ab"[i % 2]) for i, t, _ in rows]
+    taken = lambda n: sorted((r.doc_id, r.text) for r in mixing.mixed_documents(frame(spark, rows).repartition(n)).collect())
+    assert taken(3) == taken(7)
+    rng.shuffle(rows)
+    assert taken(5) == taken(2)
+
+
 def test_mixing_reaches_targets_and_is_repeatable(spark):
     rng = random.Random(2)
     rows = [(i, prose(rng, rng.randrange(0, 60)), rng.choice(["a", "b", "b", "b", "ü", "", None])) for i in range(900)]

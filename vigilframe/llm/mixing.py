@@ -134,7 +134,9 @@ def mix_sources(
             F.struct("each", "offset", "ahead").alias(mix),
         )
     )
-    within = Window.partitionBy(key, "size", cut).orderBy(F.col("doc_id").asc_nulls_last())
+    # Rows of one doc_id and size differ in their texts at most; equal ones may change places.
+    told = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    within = Window.partitionBy(key, "size", cut).orderBy(F.col("doc_id").asc_nulls_last(), told)
     each, offset = F.col(f"{mix}.each"), F.col(f"{mix}.offset")
     start = (F.col(f"{mix}.ahead") + F.row_number().over(within) - 1) * each + offset
     boundaries = lambda x: F.call_function("div", x, F.lit(UNIT).cast("bigint"))
@@ -167,7 +169,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 @query(
     "op2_mixing",
     r"""WITH d AS (
-  SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS key,
+  SELECT doc_id, source, md5(coalesce(text, '')) AS told, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS key,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 src AS (SELECT key, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM d GROUP BY key),
 w AS (SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM src),
@@ -179,7 +181,7 @@ e AS (SELECT *, CASE WHEN source_size > 0 THEN round(target / source_size * 6710
     ('0x' || substr(md5('mix' || key), 1, 8))::BIGINT % 67108864 AS offset_ FROM t)
 SELECT doc_id, size, source_size, target, size * n AS taken FROM (
   SELECT doc_id, size, source_size, target, (r * each_ + offset_) // 67108864 - ((r - 1) * each_ + offset_) // 67108864 AS n
-  FROM (SELECT d.doc_id, d.size, e.*, row_number() OVER (PARTITION BY d.key ORDER BY floor(sqrt(d.size)), d.size, d.doc_id) AS r
+  FROM (SELECT d.doc_id, d.size, e.*, row_number() OVER (PARTITION BY d.key ORDER BY floor(sqrt(d.size)), d.size, d.doc_id, d.told) AS r
     FROM d JOIN e USING (key)))""",
 )
 def op2_mixing(spark, sf_dir):
