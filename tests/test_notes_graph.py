@@ -11,6 +11,7 @@ from vigilframe.sources.notes import (
     read_community_labels,
     read_contents,
     read_graph_json,
+    read_graph_lines,
     scan_notes,
     truncate_listing,
 )
@@ -70,8 +71,11 @@ def test_notes_to_graph(spark, tmp_path):
     assert label["beds/tomatoes.md"] == ("Tomato rows", "notes/beds") and label["start.md"] == ("Allotment book", "notes")
     out = str(tmp_path / "graph")
     write_graph_json(nodes, edges, out)
-    doc = json.loads(spark.read.text(out).collect()[0].value)
+    doc = json.loads(graph_json(nodes, edges).collect()[0].value)
     assert len(doc["nodes"]) == 6 and len(doc["links"]) == 8 and doc["directed"] is False
+    read_nodes, read_edges = read_graph_lines(spark, out)
+    assert {r.id for r in read_nodes.collect()} == {n["id"] for n in doc["nodes"]}
+    assert {(r.source, r.target, r.relation) for r in read_edges.collect()} == {(x["source"], x["target"], x["relation"]) for x in doc["links"]}
 
     # Nothing changed, then one file touched, one edited, one gone.
     state = texts.join(listing, "path").select("path", "size", "mtime_ns", "hash").cache()

@@ -170,3 +170,25 @@ def test_outage_and_context(spark, target):
     assert by(2) == [(-2, 8), (-1, 9), (0, 10), (1, 11), (2, 12)]  # tie: the earlier event
     assert by(3) == [(-2, 51), (-1, 52), (0, 53)]
     assert {r.anchor_id: r.truncated for r in lines} == {1: True, 2: False, 3: True}
+
+
+def test_chunks_of_one_instant_with_wide_gaps(spark):
+    """One instant, and seq numbers with gaps that no double tells apart next to small ones."""
+    rows = [("h", 5, i << 33) for i in range(1000)] + [("h", 5, (1 << 45) + i) for i in range(1000)] + [("h", 6 + i, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "hostname string, ts_us bigint, seq bigint").repartition(5)
+    chunked = with_chunks(df, ["hostname"], target_rows=50).collect()
+    sizes, last = {}, None
+    for r in sorted(chunked, key=lambda r: (r.ts_us, r.seq)):
+        assert last is None or r[CHUNK] >= last
+        last = r[CHUNK]
+        sizes[last] = sizes.get(last, 0) + 1
+    assert len(chunked) == 2300 and max(sizes.values()) <= 100
+
+
+def test_numbered_by(spark):
+    from vigilframe.operators.ordered import numbered_by
+
+    df = spark.createDataFrame([(i * 37 % 501, i) for i in range(501)], "a int, b int").repartition(6)
+    got = sorted((r.n, r.a) for r in numbered_by(df, ["a"], "n", 1).collect())
+    assert got == [(i + 1, i) for i in range(501)]
+    assert numbered_by(df.limit(0), ["a"], "n").isEmpty()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigilframe.config import GraphConfig
 from vigilframe.functions import file_name, file_stem, sanitize_relation
-from vigilframe.operators.ordered import CHUNK, prefix_sums, stage, top_n_per_group, with_chunks
+from vigilframe.operators.ordered import CHUNK, numbered_by, prefix_sums, stage, top_n_per_group, with_chunks
 
 NODE_PREFIX = "note:"
 
@@ -157,14 +157,7 @@ def communities(notes: DataFrame, roots: tuple[str, ...] = ()) -> DataFrame:
         ).when(path.startswith(root + "/") | (path == root), F.lit(base))
     parent = F.regexp_replace(path, r"/?[^/]*\z", "")
     named = notes.withColumn("community_name", name.otherwise(parent))
-    # Ranking runs over distinct names only: per first character, plus the counts before it.
-    names = named.select("community_name").distinct().withColumn("_c", F.substring("community_name", 1, 1))
-    before = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = names.groupBy("_c").count().withColumn("_off", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("_c").orderBy("community_name"))
-    ids = names.withColumn("_r", rank).join(offsets, "_c").select(
-        "community_name", (F.col("_off") + F.col("_r") - 1).cast("bigint").alias("community")
-    )
+    ids = numbered_by(named.select("community_name").distinct(), ["community_name"], "community")
     return named.join(ids, "community_name")
 
 

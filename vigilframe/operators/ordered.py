@@ -18,6 +18,7 @@ CHUNK = "_chunk"
 CHUNK_ROWS = 4_000_000
 SLOT_US = 3_600_000_000  # one hour: natural chunk of a timeline
 _CUTS = 63  # an oversized chunk is cut into 64 at its own quantiles
+_PIECES = 2 * _CUTS + 1  # with those that stand at a cut point
 
 
 def with_chunks(
@@ -33,70 +34,39 @@ def with_chunks(
     """Add ``_chunk``: non-decreasing in (ts, seq) within ``keys`` and of limited size.
 
     A slot of ordinary size is one chunk.  A slot with more than ``target_rows`` rows is cut into
-    64 at the quantiles of its (ts, seq) positions, and a piece that is still too large (one
-    instant with many rows, say) once more.  ``at_end`` names a boolean column of rows that sort
+    64 at its own quantiles, and pieces that are still too large once more.  ``at_end`` names a boolean column of rows that sort
     after all other rows of the same timestamp.
 
     Sizes are counted here and now (one job over key, time and seq, combined map-side), so that the
-    common case without oversized slots keeps a plain plan.  Only tables about oversized slots are
-    broadcast: they have at most rows/target_rows entries of 64 numbers.
+    common case without oversized slots keeps a plain plan.  Of oversized slots the places are written
+    once; pieces are cut at quantiles of the time, those still too large at quantiles of the time again,
+    and pieces that are one instant at quantiles of ``seq``.  Places are compared as the whole numbers
+    that they are, so any gap between two of them can be cut.
     """
     if position is not None:
         df = df.withColumn("__zero", F.lit(0).cast("bigint")).withColumn("__at", position)
         ts = seq = "__zero"
     slotted = df.withColumn("__slot", F.call_function("div", F.col(ts), F.lit(slot_us).cast("bigint")))
     slot_key = [*keys, "__slot"]
-    hot = (
-        slotted.groupBy(*slot_key)
-        .agg(F.count(F.lit(1)).alias("__n"), F.min(seq).alias("__s0"), F.max(seq).alias("__s1"))
-        .where(F.col("__n") > target_rows)
-        .drop("__n")
-    )
+    hot = slotted.groupBy(*slot_key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > target_rows).drop("__n")
     if hot.isEmpty():
-        return slotted.withColumn(CHUNK, F.col("__slot") * 4096).drop("__slot", "__zero", "__at")
-    cols = [*slot_key, ts, seq, *([at_end] if at_end else []), *(["__at"] if position is not None else [])]
-    pos = F.col("__at") if position is not None else _position(ts, seq, slot_us, at_end)
-    sub1 = _below(F.col("__cuts1"), F.col("__pos"))
-    sub2 = _below(F.col("__cuts2"), F.col("__pos"))
-
-    # The cut points are written down: they are small, and every use of the chunks reads them.
-    rows = slotted.select(*dict.fromkeys(cols)).join(F.broadcast(hot), slot_key).withColumn("__pos", pos)
-    cuts1 = stage(
-        rows.groupBy(*slot_key).agg(
-            _quantiles("__pos").alias("__cuts1"), F.first("__s0").alias("__s0"), F.first("__s1").alias("__s1")
-        ),
-        "cuts",
-    )
-    pieces = (
-        rows.drop("__s0", "__s1").join(F.broadcast(cuts1), slot_key).withColumn("__sub1", sub1)
-        .select(*slot_key, "__sub1", "__pos")
-    )
-    piece_key = [*slot_key, "__sub1"]
-    large = stage(pieces.groupBy(*piece_key).count().where(F.col("count") > target_rows).drop("count"), "large")
-    out = (
-        slotted.join(F.broadcast(cuts1), slot_key, "left")
-        .withColumn("__pos", F.when(F.col("__cuts1").isNotNull(), pos))
-        .withColumn("__sub1", sub1)
-    )
-    if large.isEmpty():
-        out = out.withColumn(CHUNK, (F.col("__slot") * 64 + F.col("__sub1")) * 64)
-    else:
-        cuts2 = stage(
-            pieces.join(F.broadcast(large), piece_key).groupBy(*piece_key).agg(_quantiles("__pos").alias("__cuts2")),
-            "cuts",
+        return slotted.withColumn(CHUNK, F.col("__slot") * _PIECES**3).drop("__slot", "__zero", "__at")
+    ends = F.when(F.col(at_end), 1).otherwise(0) if at_end else F.lit(0)
+    places = {"__p": F.col("__at") if position is not None else F.col(ts) * 2 + ends, "__q": F.col(seq)}
+    held = stage(slotted.join(hot, slot_key, "left_semi").select(*slot_key, *[v.alias(n) for n, v in places.items()]), "places")
+    out, key = slotted.withColumns(places), slot_key
+    for level, value in enumerate(("__p", "__p", "__q")):
+        sub, cuts = f"__sub{level}", f"__cuts{level}"
+        large = held.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), (F.min("__p") == F.max("__p")).alias("__one")).where(
+            (F.col("__n") > target_rows) & (F.col("__one") == F.lit(value == "__q"))
         )
-        out = out.join(F.broadcast(cuts2), piece_key, "left").withColumn(
-            CHUNK, (F.col("__slot") * 64 + F.col("__sub1")) * 64 + sub2
-        )
-    return out.drop("__slot", "__s0", "__s1", "__cuts1", "__cuts2", "__sub1", "__pos", "__zero", "__at")
-
-
-def _position(ts: str, seq: str, slot_us: int, at_end: str | None) -> Column:
-    """Place within the slot as one number, non-decreasing in (ts, at_end, seq)."""
-    frac = 0.99 * (F.col(seq) - F.col("__s0")) / (F.col("__s1") - F.col("__s0") + 1)
-    if at_end is not None:
-        frac = F.when(F.col(at_end), F.lit(0.995)).otherwise(frac)
-    return (F.col(ts) - F.col("__slot") * slot_us).cast("double") + frac
+        known = stage(held.join(stage(large.select(*key), "large"), key, "left_semi").groupBy(*key).agg(_quantiles(value).alias(cuts)), "cuts")
+        place = lambda rows: rows.join(known, key, "left").withColumn(sub, _below(F.col(cuts), F.col(value))).drop(cuts)  # noqa: B023, E731
+        held, out, key = place(held), place(out), [*key, sub]
+    chunk = F.col("__slot")
+    for level in range(3):
+        chunk = chunk * _PIECES + F.col(f"__sub{level}")
+    return out.withColumn(CHUNK, chunk).drop("__slot", "__p", "__q", "__zero", "__at", "__sub0", "__sub1", "__sub2")
 
 
 def _quantiles(col: str) -> Column:
@@ -104,8 +74,26 @@ def _quantiles(col: str) -> Column:
 
 
 def _below(cuts: Column, pos: Column) -> Column:
-    """How many cut points lie below ``pos`` (0 without cuts)."""
-    return F.coalesce(F.size(F.filter(cuts, lambda c: c < pos)), F.lit(0)).cast("bigint")
+    """How many cut points lie below ``pos``, and how many up to it (0 without cuts).
+
+    So the rows that stand at a cut point, however many, are kept from those before and after it.
+    """
+    count = lambda keep: F.coalesce(F.size(F.filter(cuts, keep)), F.lit(0))
+    return (count(lambda c: c < pos) + count(lambda c: c <= pos)).cast("bigint")
+
+
+def numbered_by(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
+    """Add ``name``: the place of each row in the order of ``order``, from ``start``, without gaps.
+
+    Ranges at sampled splitters are sorted and numbered in parallel; only the sizes of the ranges meet.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    placed = stage(ranged, "numbered").withColumn("__part", F.shiftright("__id", 33))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range.
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    inside = F.col("__id") - F.shiftleft(F.col("__part"), 33)
+    return placed.join(F.broadcast(sizes), "__part").withColumn(name, inside + F.col("__off") + start).drop("__id", "__part", "__off")
 
 
 def ensure_chunks(df: DataFrame, keys: list[str], **kw) -> DataFrame:

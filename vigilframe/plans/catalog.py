@@ -39,6 +39,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         catalog_graph,
         catalog_inventory,
         catalog_signals,
+        catalog_store,
         catalog_stream,
         catalog_text,
     )

@@ -8,7 +8,7 @@ from vigilframe.config import GraphConfig
 from vigilframe.functions import file_name, file_stem, normalize_path, parent_dir, percent_decode
 from vigilframe.operators import graph as G
 from vigilframe.operators import notes as N
-from vigilframe.operators.ordered import stage
+from vigilframe.operators.ordered import numbered_by, stage
 from vigilframe.plans.catalog import query, table, texts
 from vigilframe.plans.catalog_text import page_notes
 
@@ -147,16 +147,7 @@ FROM edges e JOIN n a ON a.id = e.source JOIN n b ON b.id = e.target JOIN g ga O
 def compact_graph(spark, d):
     nodes, edges = _graph(spark, d)
     # Position by id: parts and suppliers sort by the text of their key.
-    from pyspark.sql import Window
-
-    first = F.substring("id", 1, 2)
-    sizes = nodes.groupBy(first.alias("_p")).count()
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_off", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    pos = F.row_number().over(Window.partitionBy("_p").orderBy("id")) + F.col("_off")
-    nodes = nodes.withColumn("_p", first).join(offsets, "_p").withColumn("pos", pos.cast("bigint")).withColumn(
-        "community_name", F.lit(None).cast("string")
-    )
+    nodes = numbered_by(nodes, ["id"], "pos", 1).withColumn("community_name", F.lit(None).cast("string"))
     edges = edges.withColumn("pos", F.lit(0).cast("bigint"))
     _, shown, links = G.compact_graph(stage(nodes), edges)
     at = shown.select(F.col("node_index").alias("source_index"), F.col("group_index").alias("source_group"))

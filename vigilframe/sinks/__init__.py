@@ -75,20 +75,20 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row with the node-link document.  For display graphs (nodes and edges are limited
-    there); larger graphs belong in ``write_graph``."""
+    """One row with the node-link document, for graphs that are shown: both tables are limited there."""
     n = nodes.agg(F.array_sort(F.collect_list(F.struct("id", "label", "file_type", "community", "community_name", "source_file"))).alias("nodes"))
     e = edges.agg(F.array_sort(F.collect_list(F.struct("source", "target", "relation", "confidence", "origin"))).alias("links"))
     doc = F.struct(F.lit(False).alias("directed"), F.lit(False).alias("multigraph"), "nodes", "links")
     return n.crossJoin(e).select(F.to_json(doc).alias("value"))  # two one-row aggregates
 
 
-def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str, max_rows: int = 100_000) -> None:
-    """Write the node-link document; refuses graphs above ``max_rows`` nodes or edges."""
-    for df in (nodes, edges):
-        if df.limit(max_rows + 1).count() > max_rows:
-            raise ValueError(f"graph has more than {max_rows} rows: use write_graph (Parquet)")
-    graph_json(nodes, edges).write.mode("overwrite").text(path)
+def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Node-link graph of any size as JSON lines: one object per node under ``nodes``, per edge under ``links``.
+
+    The objects are those of the document of `graph_json`; ``sources.notes.read_graph_lines`` reads them.
+    """
+    nodes.select("id", "label", "file_type", "community", "community_name", "source_file").write.mode("overwrite").json(f"{path}/nodes")
+    edges.select("source", "target", "relation", "confidence", "origin").write.mode("overwrite").json(f"{path}/links")
 
 
 def map_points(points: DataFrame, hops: DataFrame) -> DataFrame:
@@ -123,10 +123,23 @@ def write_map_json(
     one.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/summary")
 
 
-def dump_baselines(baselines: DataFrame, profiles: DataFrame, path: str) -> None:
-    """The whole baseline set as JSON lines."""
-    baselines.write.mode("overwrite").json(f"{path}/histograms")
-    profiles.write.mode("overwrite").json(f"{path}/profiles")
+DUMP_VERSION = 1
+
+
+def dump_baselines(
+    baselines: DataFrame, profiles: DataFrame, path: str, registry: DataFrame | None = None, bucket_seconds: int = 5,
+    hostname: str = "", last_snapshot_us: int | None = None,
+) -> None:
+    """The whole learned set as JSON lines for people and other tools, with what it was learned with under ``meta``."""
+    spark = baselines.sparkSession
+    tables = {"histograms": baselines, "profiles": profiles, **({"templates": registry} if registry is not None else {})}
+    for name, df in tables.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")
+    counts = [F.lit(spark.read.text(f"{path}/{name}").count()).alias(f"n_{name}") for name in tables]
+    spark.range(1).select(
+        F.lit(DUMP_VERSION).alias("schema_version"), F.lit(bucket_seconds).alias("bucket_seconds"), F.lit(hostname).alias("hostname"),
+        F.lit(last_snapshot_us).cast("bigint").alias("last_snapshot_us"), *counts,
+    ).write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/meta")
 
 
 def audit_records(decisions: DataFrame) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _FIELDS = (
     "__REALTIME_TIMESTAMP STRING, _SYSTEMD_UNIT STRING, UNIT STRING, _PID STRING, PRIORITY STRING, "
-    "_HOSTNAME STRING, _corrupt STRING"
+    "_HOSTNAME STRING, MESSAGE STRING, _corrupt STRING"
 )
+#: A message that is an array, not a string that looks like one.
+BYTES = r'"MESSAGE"\s*:\s*\['
 
 
 def read_journal(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
@@ -25,11 +27,10 @@ def parse_journal(lines: DataFrame, column: str = "value") -> DataFrame:
     """
     raw = F.trim(F.col(column))
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = (
-        lines.where(~F.col(column).rlike(r"^\s*\z"))
-        .withColumn("_j", F.from_json(raw, _FIELDS, opts))
-        .withColumn("_s", F.get_json_object(raw, "$.MESSAGE"))
-        .withColumn("_bytes", F.from_json(raw, "MESSAGE ARRAY<INT>").getField("MESSAGE"))
+    # Parsed once: MESSAGE as a string, in which an array of bytes stands as its JSON text.
+    said = F.col("_j").getField("MESSAGE")
+    parsed = lines.where(~F.col(column).rlike(r"^\s*\z")).withColumn("_j", F.from_json(raw, _FIELDS, opts)).withColumns(
+        {"_s": said, "_bytes": F.when(said.rlike(r"(?s)^\[.*\]\z") & raw.rlike(BYTES), F.from_json(said, "ARRAY<INT>"))}
     )
     binary = F.col("_bytes").isNotNull()
     as_hex = F.array_join(

@@ -48,8 +48,13 @@ def scan_notes(
         )
         parts = df if parts is None else parts.unionByName(df)
     out = parts.where(_listed(F.col("path"), roots, cfg))
-    # Overlapping roots: one row per path.
-    return out.dropDuplicates(["path"]) if len(roots) > 1 else out
+    # Overlapping roots: one row per path.  A stream forgets a version of a file when it is a day old.
+    if len(roots) < 2:
+        return out
+    if not streaming:
+        return out.dropDuplicates(["path"])
+    stamped = out.withColumn("_at", F.timestamp_micros(F.call_function("div", F.col("mtime_ns"), F.lit(1000).cast("bigint"))))
+    return stamped.withWatermark("_at", "1 day").dropDuplicatesWithinWatermark(["path", "mtime_ns"]).drop("_at")
 
 
 def truncate_listing(listing: DataFrame, max_files: int) -> tuple[DataFrame, bool]:
@@ -87,6 +92,15 @@ def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     doc = spark.read.schema(schema).option("multiLine", True).json(path)
     nodes = doc.select(F.posexplode("nodes").alias("pos", "n")).select(F.col("pos").cast("bigint"), "n.*")
     edges = doc.select(F.posexplode("links").alias("pos", "e")).select(F.col("pos").cast("bigint"), "e.*")
+    return _with_defaults(nodes, edges)
+
+
+def read_graph_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a graph of any size that ``write_graph_json`` wrote as JSON lines."""
+    return _with_defaults(spark.read.schema(_NODE).json(f"{path}/nodes"), spark.read.schema(f"{_EDGE}, origin STRING").json(f"{path}/links"))
+
+
+def _with_defaults(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (
         nodes.withColumns(
             {"community": F.coalesce("community", F.lit(0).cast("bigint")), "label": F.coalesce("label", F.lit("")),
