@@ -43,7 +43,9 @@ def contained_items(
     Candidates are found by the items' min-wise probes and then verified with all shingles.  Texts
     without words contain and match nothing; a text under 5 words counts as one shingle.  Rows with the
     same id are one document, rows with the same item_id and text one item; null ids form one group
-    like any other.  Each document's shingles are made distinct before they leave its row.
+    like any other.  Each document's shingles are made distinct before they leave its row; of a very long text
+    only those that are a probe of some item leave it.  Ties have no part in it.  An empty table of documents or
+    items gives no rows.  Other columns, whatever their names, are left out.
     """
     sketches = stage(item_sketches(items, threshold_percent), "item-sketches")
     probes = sketches.where("is_probe").select("hash").distinct()
@@ -65,7 +67,11 @@ def contained_items(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Documents that contain no item, with all their columns."""
+    """Documents that contain no item, with all their columns, also those named like columns used inside.
+
+    Rows of one doc_id are one document and go together, null ids among them; documents without words
+    stay.  Without items all rows stay; an empty table stays empty.
+    """
     bad = free_name(docs, "bad_id")
     hits = small(stage(contained_items(docs, items, id_col).select(F.col(id_col).alias(bad)).distinct(), "contaminated"))
     return docs.join(hits, docs[id_col].eqNullSafe(hits[bad]), "left_anti")

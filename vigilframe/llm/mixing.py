@@ -159,7 +159,12 @@ def cycle_weights(values: tuple[int, ...] = (3, 1, 2)):
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as it has copies, with the columns of ``docs``."""
+    """The mix itself: every document as often as it has copies, with the columns of ``docs``.
+
+    Nulls, ties, repeated rows and empty tables: as in `mix_sources`; rows of one doc_id and size stand by a
+    hash of their text, so reruns take the same rows.  A very long text is one document like any other.
+    Columns of ``docs`` with the names that the mix adds keep their values.
+    """
     packed = docs.select(F.struct("*").alias("row"), "doc_id", "text", "source")
     out = mix_sources(packed, cycle_weights(), **options)
     times = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("time")

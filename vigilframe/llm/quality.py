@@ -117,7 +117,9 @@ def judge_quality(
     ``base_failed``: under 50 words, or more than half of the words in repeated 3-word windows.  A
     document that passes is rejected if under ``min_left_percent`` % of its words are left once the
     boilerplate lines of its host are taken away.  ``host``: a string column, ``source`` by default.
-    Null text: no words, so base_failed.  Null host: a host of its own.  Repeated rows are judged
+    Null text and empty text: no words, so base_failed.  A very long text is read
+    whole, within its row.  Limits are passed by more, so ties do not pass.  An empty table gives no rows.  Columns of
+    ``docs`` with the name of an added one are replaced.  Null host: a host of its own.  Repeated rows are judged
     alike.  What is known of a host is joined to its documents as one short array; up to
     BROADCAST_LINES hashes in all it is broadcast, so texts stay where they are.
     """
@@ -161,7 +163,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """Documents that the rules keep, with the columns they came with.
 
     Boilerplate lines of the host are taken out of ``text``; ``n_chars``, if there is one, is counted
-    again where that changes a text.
+    again where that changes a text.  Nulls, repeats and very long texts: as in `judge_quality`; null and empty
+    texts go.  Other columns keep their values, whatever their names; an empty table stays empty.
     """
     packed = docs.select(F.struct("*").alias("row"), "text", "source")
     row = F.col("row")

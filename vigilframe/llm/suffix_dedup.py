@@ -250,7 +250,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
 
     Every byte covered by a string of ``length`` bytes that also begins anywhere else in the corpus, in the
     same document or another, goes; ``kept`` are the remaining bytes (not text: a cut may split a
-    character), null where nothing was removed.  Strings do not cross documents.  Null text: empty.  Equal
+    character), null where nothing was removed.  A very long text is cut into pieces like any other; its row
+    stays one row.  Null doc_id: a row of its own.  An empty table gives no rows; other columns are left out.  Strings do not cross documents.  Null text: empty.  Equal
     texts, repeated rows too, are repeats of each other.
 
     Steps: the strings of a text are cut into pieces by the smallest hash of ``gram`` bytes within them, which

@@ -113,7 +113,12 @@ def scan_documents(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame, **options) -> DataFrame:
-    """Write ``docs`` as flat token files and count each document's tokens by scanning them."""
+    """Write ``docs`` as flat token files and count each document's tokens by scanning them.
+
+    Null text and empty text: 0 tokens.  Null doc_id and repeated rows: a row each.  A very long text fills as
+    many blocks as it needs.  Ties have no part in it.  An empty table gives no rows.  Other columns, whatever
+    their names, are left out.
+    """
     path = new_path(docs.sparkSession, "flat-tokens")
     write_flat_tokens(docs, path, **options)
     blocks = docs.sparkSession.read.schema(BLOCKS).parquet(path)

@@ -63,7 +63,8 @@ def write_tokens(
 
     The texts are dealt to tasks by ranges of doc_id and sorted there: one shuffle, and no task or
     driver holds more than one segment.  Null doc_id: first.  Equal doc_ids: by text.  Null text: only
-    the end id.  Segments are rows of a Parquet table without further compression, so a lost executor
+    the end id.  A very long text is one document of one segment, up to 536 million ids (offsets have 32 bits);
+    repeated rows are documents of their own.  An empty table gives an empty file.  Other columns are left out.  Segments are rows of a Parquet table without further compression, so a lost executor
     costs its own part only.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange("doc_id")

@@ -158,7 +158,8 @@ def filter_urls(urls: DataFrame, rules: DataFrame, labelled: DataFrame, max_rows
 
     The verdict is that of the longest rule that fits, else the classifier's, which is fitted on
     ``labelled`` (url, label: 1 for block).  Null urls and urls without ``://``: empty host and path, judged
-    by the classifier.  Repeated rows are judged alike; without labels everything else is allowed.
+    by the classifier.  A url of any length is one row.  Rules of equal length cannot both fit, so there are no
+    ties.  An empty table gives no rows.  Repeated rows are judged alike; without labels everything else is allowed.
     Columns of ``urls`` with the name of an added one are replaced.
     """
     added = ("host", "path", "rule", "verdict", "rule_verdict", "predicted")
