@@ -183,3 +183,28 @@ def test_queries_have_matching_names():
 
     queries, sql = entry.queries(), entry.oracle_sql()
     assert len(queries) > 100 and set(sql) <= set(queries)
+
+
+def test_rate_limit_steps_equal_one_by_one():
+    import random
+
+    import numpy as np
+
+    from vigilframe.operators.actions import admitted_until_full
+
+    rng = random.Random(6)
+    for _ in range(300):
+        limit, window = rng.randrange(4), rng.choice([1, 5, 20])
+        ts = np.array(sorted(rng.randrange(60) for _ in range(rng.randrange(25))), np.int64)
+        cut, log, got, old = rng.randrange(len(ts) + 1), [], [], []
+        for part in (ts[:cut], ts[cut:]):
+            a, o, log = admitted_until_full(part, log, limit, window)
+            got += a.tolist()
+            old += o.tolist()
+        want, kept, first = [], [], []
+        for t in ts.tolist():
+            kept = [x for x in kept if t - x < window]
+            want.append(len(kept) < limit)
+            first.append(0 if want[-1] else kept[0] if kept else t)
+            kept += [t] * want[-1]
+        assert got == want and [o for o, a in zip(old, got) if not a] == [f for f, a in zip(first, want) if not a]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -57,30 +58,55 @@ def clamp_action(df: DataFrame, policy: ActionPolicy = ActionPolicy()) -> DataFr
     )
 
 
+def admitted_until_full(ts: np.ndarray, log: list[int], max_actions: int, window_us: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(admitted, oldest, log) for ascending times ``ts`` after the admitted times ``log``, the oldest first.
+
+    Goes from one admission to the next: while the log is full, all requests until its oldest entry leaves
+    are denied at once, found by bisection.  ``oldest`` is that entry for denied requests.
+    """
+    admitted, oldest = np.zeros(len(ts), bool), np.zeros(len(ts), np.int64)
+    i = 0
+    while i < len(ts):
+        log = [t for t in log if ts[i] - t < window_us]
+        if len(log) < max_actions:
+            admitted[i] = True
+            log.append(int(ts[i]))
+            i += 1
+            continue
+        if not log:  # nothing is ever admitted
+            oldest[i:] = ts[i:]
+            break
+        end = int(np.searchsorted(ts, log[0] + window_us, side="left"))
+        oldest[i:end] = log[0]
+        i = end
+    return admitted, oldest, log
+
+
 def rate_limit(requests: DataFrame, max_actions: int = 3, window_us: int = 600_000_000) -> DataFrame:
     """Add ``admitted`` and ``retry_after_secs`` per ``rate_key``: sliding log of admitted attempts.
 
-    Sorted by (key, time) and streamed; per key only the last ``max_actions`` admitted times are
-    kept.  Input: rate_key, ts_us, seq.
+    Sorted by (key, time) and streamed in Arrow batches; per key only the last ``max_actions`` admitted times
+    are kept, and Python takes a step per admission and per full log, not per request.
+    Input: rate_key, ts_us, seq.
     """
     schema = "rate_key string, ts_us bigint, seq bigint, admitted boolean, retry_after_secs bigint"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, log = None, []
         for pdf in batches:
-            out = []
-            for rate_key, ts, seq in pdf.itertuples(index=False):
-                if rate_key != key:
-                    key, log = rate_key, []
-                log = [t for t in log if ts - t < window_us]
-                if len(log) >= max_actions:
-                    out.append((rate_key, ts, seq, False, (window_us - (ts - log[0])) // 1_000_000))
-                else:
-                    log.append(ts)
-                    out.append((rate_key, ts, seq, True, None))
-            yield pd.DataFrame(out, columns=["rate_key", "ts_us", "seq", "admitted", "retry_after_secs"]).astype(
-                {"retry_after_secs": "Int64"}
-            )
+            keys, ts = pdf["rate_key"].to_numpy(), pdf["ts_us"].to_numpy(np.int64)
+            admitted, retry = np.zeros(len(pdf), bool), np.zeros(len(pdf), np.int64)
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1 if len(pdf) else []
+            for low, high in zip([0, *cuts], [*cuts, len(pdf)]):
+                if high > low and keys[low] != key:
+                    key, log = keys[low], []
+                admitted[low:high], oldest, log = admitted_until_full(ts[low:high], log, max_actions, window_us)
+                retry[low:high] = (window_us - (ts[low:high] - oldest)) // 1_000_000
+            out = pdf[["rate_key", "ts_us", "seq"]].copy()
+            out["admitted"] = admitted
+            out["retry_after_secs"] = pd.array(retry, "Int64")
+            out.loc[admitted, "retry_after_secs"] = pd.NA
+            yield out
 
     slim = requests.select("rate_key", "ts_us", "seq")
     flags = slim.repartition("rate_key").sortWithinPartitions("rate_key", "ts_us", "seq").mapInPandas(run, schema)
