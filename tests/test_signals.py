@@ -131,6 +131,42 @@ def test_alert_fold_equals_sequential_model(spark, target):
     assert {r.seq: (r.emitted, r.suppressed_since_last) for r in got} == alerts
 
 
+def fold_cooldowns(rows, cooldown, state):
+    """Sequential model: rows (key, ts, seq, level) in order; state: key -> (last_ts, last_level, held)."""
+    state, out = dict(state), {}
+    for key, ts, seq, level in rows:
+        last, last_level, held = state.get(key, (None, 0, 0))
+        if last is None or level > last_level or ts - last >= cooldown:
+            out[seq], state[key] = (True, held), (ts, level, 0)
+        else:
+            out[seq], state[key] = (False, 0), (last, last_level, held + 1)
+    return out
+
+
+@pytest.mark.parametrize(
+    "target,span,cooldown,with_state", [(10**9, 256, 300, True), (40, 8, 300, False), (60, 16, 7, True), (10**9, 64, 0, False)]
+)
+def test_cooldowns_of_hot_keys_with_ties(spark, target, span, cooldown, with_state):
+    rng = random.Random(target + span + cooldown)
+    t, rows = 10**15, []
+    for i in range(700):
+        t += rng.choice([0, 0, 1, 3, 20, 400]) * 1_000_000
+        rows.append((rng.choice("aaaaaabc"), t, i, rng.choice([1, 1, 1, 1, 2, 2, 3])))
+    at = rows[0][1]
+    known = [("a", at - 5_000_000, 1, 4), ("b", at - 10**12, 3, 0), ("c", None, 0, 7), ("gone", at, 2, 1)] if with_state else []
+    cfg = AnalysisConfig(cooldown_seconds=cooldown)
+    want = fold_cooldowns(rows, cooldown * 1_000_000, {k: (ts, level, held) for k, ts, level, held in known})
+    df = spark.createDataFrame([("h", *r) for r in rows], "hostname string, template_id string, ts_us bigint, seq bigint, level int")
+    state = spark.createDataFrame([("h", *k) for k in known], "hostname string, template_id string, last_ts bigint, last_level int, suppressed bigint") if with_state else None
+    got = cooldown_dedup(df.repartition(3), cfg, state=state, target_rows=target, span=span).collect()
+    assert len(got) == len(rows) and {r.seq: (r.emitted, r.suppressed_since_last) for r in got} == want
+
+
+def test_cooldown_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "hostname string, template_id string, ts_us bigint, seq bigint, level int")
+    assert cooldown_dedup(df).isEmpty()
+
+
 @pytest.mark.parametrize("target", [10**9, 20])
 def test_weighted_quantile(spark, target):
     from vigilframe.operators.entropy import weighted_quantile_mid
