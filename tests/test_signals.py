@@ -131,6 +131,23 @@ def test_alert_fold_equals_sequential_model(spark, target):
     assert {r.seq: (r.emitted, r.suppressed_since_last) for r in got} == alerts
 
 
+def test_levels_go_on_from_a_start(spark):
+    rng = random.Random(11)
+    scores = [0.1, 0.42, 0.42, 0.5, 0.55, 0.61, 0.65, 0.65, 0.7, 0.7, 0.85, None]
+    rows = [("h", k, 10**15 + i * 10**6, i, rng.choice(scores[1:] if i % 90 < 60 else scores)) for i, k in enumerate(rng.choices("abcd", k=800))]
+    before = {"a": 3, "b": 2, "c": 1}
+    want, last = {}, dict(before)
+    for _, k, _, i, s in rows:
+        raw = 0 if s is None else 3 if s >= 0.8 else 2 if s >= 0.6 else 1 if s >= 0.5 else 0
+        prev = last.get(k, 0)
+        stays = prev > 0 and (s is None or s >= {1: 0.5, 2: 0.6, 3: 0.8}[prev] * 0.8)
+        want[i] = last[k] = max(raw, prev if stays else 0)
+    df = spark.createDataFrame(rows, "hostname string, template_id string, ts_us bigint, seq bigint, combined double")
+    start = spark.createDataFrame([("h", *p) for p in before.items()], "hostname string, template_id string, start_level int")
+    got = level_hysteresis(df, AnalysisConfig(), target_rows=8, start=start).collect()
+    assert {r.seq: r.level for r in got} == want
+
+
 def fold_cooldowns(rows, cooldown, state):
     """Sequential model: rows (key, ts, seq, level) in order; state: key -> (last_ts, last_level, held)."""
     state, out = dict(state), {}
