@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from vigilframe.llm import chat, licenses, rans, suffix_dedup, token_counts, token_output, urls
 from vigilframe.llm.suffixes import repeated_starts
@@ -132,6 +133,34 @@ def test_repeated_passages(spark, n, gram, large):
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_a_passage_in_a_third_of_all_texts(spark, monkeypatch):
+    """Its pieces differ in every text over its edges; they are spread over all buckets, known as hot or not."""
+    rng = random.Random(4)
+    passage = "".join(rng.choices("abcdefgh", k=150))
+    rows = []
+    for i in range(240):
+        own = lambda: "".join(rng.choices("ijklmnopqrst", k=rng.randrange(5, 60)))  # noqa: B023, E731
+        rows.append((i, own() + passage[rng.randrange(3) :] + own() if i % 3 == 0 else own() + own()))
+    rows += [(500 + i, passage) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    texts = docs.where(F.octet_length("text") >= 20)
+    hot = suffix_dedup._hot_hashes(texts, texts.count(), 20, 8)
+    once = np.concatenate([suffix_dedup.pieces(t.encode(), 20, 8) for _, t in rows])
+    often = np.isin(once["h"], hot)
+    assert len(hot) and often.any() and not often.all()
+    buckets = lambda known: {
+        r["bucket"]
+        for b in suffix_dedup._dealt([pa.RecordBatch.from_pylist([{"key": i, "text": t} for i, t in rows])], 64, 20, 8, known)
+        for r in b.to_pylist() if r["kind"] == 0 and np.isin(np.frombuffer(r["data"], suffix_dedup._ROW)["h"], hot).any()
+    }
+    assert len(buckets(hot)) > 2 * len(buckets(hot[:0]))
+    want = brute_repeats(rows, 20)
+    for limit in (suffix_dedup.HOT_LIST, 1):
+        monkeypatch.setattr(suffix_dedup, "HOT_LIST", limit)
+        got = suffix_dedup.remove_repeats(docs, 20, 8).collect()
+        assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], key=repr) == want
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(3)
     pieces = ["\\", "<", "|", "[", "INST]", "/s>", "\n", "a ", "im_end|>\n", "<<SYS>>", "😀", "$1", "\\\n", *chat.CONTROL]

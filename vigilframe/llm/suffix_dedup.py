@@ -20,6 +20,8 @@ BUCKET_BYTES = 8_000_000
 REGION_BYTES = 2_000_000
 #: From so many regions with the same smallest hash on, their strings are counted one by one instead.
 LARGE_GROUP = 20_000
+#: Hashes with so many different pieces in about so many sampled texts are spread over all buckets; so many at most.
+HOT_PIECES, SAMPLE_TEXTS, HOT_LIST = 8, 5_000, 10_000
 _BYTE = np.random.default_rng(20240411).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0xD6E8FEB86659FD93 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -77,10 +79,30 @@ def pieces(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
     return out
 
 
-def _dealt(batches, buckets: int, length: int, gram: int):
+def _hashes(batches, length: int, gram: int):
+    """(h, g) of the pieces of each text."""
+    for batch in batches:
+        found = [pieces(text.as_py().encode(), length, gram) for text in batch.column(0)]
+        rows = np.unique(np.concatenate([r[["h", "g"]] for r in found]) if found else np.zeros(0, _ROW)[["h", "g"]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c]).view(np.int64)) for c in ("h", "g")], ["h", "g"])
+
+
+def _hot_hashes(texts: DataFrame, n_texts: int, length: int, gram: int) -> np.ndarray:
+    """Smallest hashes that very many different pieces share, as seen in a sample of the texts.
+
+    Passages of many documents have them: the pieces over an edge of the passage differ in each.  They only
+    decide in which task pieces meet; the result is the same with any list.
+    """
+    sample = texts.sample(min(1.0, SAMPLE_TEXTS / max(n_texts, 1)), seed=1).select("text")
+    found = sample.mapInArrow(lambda batches: _hashes(batches, length, gram), "h bigint, g bigint").distinct()
+    counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_PIECES)
+    return np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(HOT_LIST).collect()], np.int64).view(np.uint64)
+
+
+def _dealt(batches, buckets: int, length: int, gram: int, hot: np.ndarray):
     """Pieces of a batch of texts, packed for each bucket; of equal pieces one goes on, marked as seen twice.
 
-    Texts that come again within a batch are not looked at again: all their pieces are seen twice.
+    The bucket is that of h; with ``hot`` hashes, that of h and g, so only equal pieces meet.  Texts that come again within a batch are not looked at again: all their pieces are seen twice.
     """
     for batch in batches:
         rows, copies = [], set()
@@ -95,7 +117,12 @@ def _dealt(batches, buckets: int, length: int, gram: int):
         rows = np.concatenate(rows) if rows else np.zeros(0, _ROW)
         rows["flag"] |= np.where(np.isin(rows["key"], copies), TWICE, 0).astype(np.uint16)
         rows, local = _pick(rows)
-        bucket = ((rows["h"] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # ascending with h
+        bucket = ((rows["h"] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        if len(hot):
+            often = np.isin(rows["h"], hot)
+            bucket[often] = ((mix(rows["h"][often] ^ rows["g"][often]) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            order = np.argsort(bucket, kind="stable")
+            rows, bucket = rows[order], bucket[order]
         cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
         out = [
             {"bucket": k, "kind": 0, "data": rows[cuts[k] : cuts[k + 1]].tobytes()}
@@ -125,8 +152,8 @@ def _pick(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 COVERED, WANTED, OTHER = 0, 1, 2
 
 
-def _matched(group: pa.Table, length: int) -> pa.Table:
-    """Marks of a bucket's pieces: (key, kind, h, at, n).
+def _matched(group: pa.Table, length: int, hot: np.ndarray) -> pa.Table:
+    """Marks of a bucket's pieces: (key, kind, h, at, n).  Pieces with a ``hot`` hash are never alone with it.
 
     COVERED: its bytes, all in repeated strings.  WANTED: some of its strings may be repeats, to be told by
     their bytes.  OTHER: covered, but needed to tell those.
@@ -139,10 +166,11 @@ def _matched(group: pa.Table, length: int) -> pa.Table:
     twice = (rows["flag"] & TWICE) > 0
     begin = np.flatnonzero(np.append(True, rows["h"][1:] != rows["h"][:-1])) if len(rows) else np.zeros(0, int)
     size = np.diff(np.append(begin, len(rows)))
-    alone = np.repeat(size == 1, size)
+    often = np.isin(rows["h"], hot)
+    alone = np.repeat(size == 1, size) & ~often
     tied = (rows["flag"] & TIED) > 0
     wanted = ~twice & (~alone | tied)
-    open_ = np.repeat(np.logical_or.reduceat(wanted, begin), size) if len(rows) else wanted
+    open_ = np.repeat(np.logical_or.reduceat(wanted, begin), size) | often if len(rows) else wanted
     marked = [(COVERED, rows[twice]), (COVERED, rest), (WANTED, rows[wanted]), (OTHER, rows[twice & open_])]
     every = np.concatenate([r for _, r in marked])
     return pa.table(
@@ -256,7 +284,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
 
     Steps: the strings of a text are cut into pieces by the smallest hash of ``gram`` bytes within them, which
     equal strings share; pieces that are equal as a whole are covered.  Of the others, those that share
-    their smallest hash with any other are brought together by it, and `repeated_starts` finds their
+    their smallest hash with any other (or have one that is very frequent in a sample, whose pieces are spread
+    over all buckets) are brought together by it, and `repeated_starts` finds their
     repeats with a suffix array.  Groups of ``large_group`` pieces or more are not brought together: their
     strings are counted one by one by two hashes.
     """
@@ -267,13 +296,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
 def _remove_repeats(docs: DataFrame, length: int, gram: int, large_group: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("key", F.xxhash64("text"))
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, -(-(int(total) * 32 // 60) // BUCKET_BYTES))
+    enough = F.octet_length("text") >= length
+    total, n_texts = texts.agg(F.sum(F.octet_length("text")), F.count_if(enough)).first()
+    buckets = max(8, -(-(int(total or 0) * 32 // 60) // BUCKET_BYTES))
+    hot = _hot_hashes(texts.where(enough), n_texts, length, gram)
     marks = stage(
-        texts.where(F.octet_length("text") >= length).select("key", "text")
-        .mapInArrow(lambda batches: _dealt(batches, buckets, length, gram), "bucket int, kind int, data binary")
+        texts.where(enough).select("key", "text")
+        .mapInArrow(lambda batches: _dealt(batches, buckets, length, gram, hot), "bucket int, kind int, data binary")
         .groupBy("bucket")
-        .applyInArrow(lambda group: _matched(group, length), "key bigint, kind int, h bigint, at bigint, n int"),
+        .applyInArrow(lambda group: _matched(group, length, hot), "key bigint, kind int, h bigint, at bigint, n int"),
         "repeat-marks",
     )
     # A set, so that a text with very many copies has its marks once.
