@@ -133,6 +133,21 @@ def test_repeated_passages(spark, n, gram, large):
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_pieces_are_spread_over_the_buckets():
+    """Smallest hashes are small numbers; no bucket may have most of them, nor most of what is set aside."""
+    rng = random.Random(6)
+    common = ["".join(rng.choices("abcdefgh", k=300)) for _ in range(40)]
+    texts = ["".join(rng.choices("ijklmnopqrst", k=1500)) + rng.choice(common) for _ in range(400)]
+    batches = [pa.RecordBatch.from_pylist([{"key": i, "text": texts[i]} for i in range(k, k + 10)]) for k in range(0, 400, 10)]
+    size = collections.Counter()
+    for batch in suffix_dedup._dealt(batches, 16, 200, 80, np.zeros(0, np.uint64)):
+        for r in batch.to_pylist():
+            size[r["kind"], r["bucket"]] += len(r["data"])
+    for kind, most in ((0, 1.5), (1, 5)):
+        found = [n for (k, _), n in size.items() if k == kind]
+        assert len(found) > 8 and max(found) < most * sum(found) / 16
+
+
 def test_a_passage_in_a_third_of_all_texts(spark, monkeypatch):
     """Its pieces differ in every text over its edges; they are spread over all buckets, known as hot or not."""
     rng = random.Random(4)

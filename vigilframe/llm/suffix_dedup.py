@@ -99,6 +99,11 @@ def _hot_hashes(texts: DataFrame, n_texts: int, length: int, gram: int) -> np.nd
     return np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(HOT_LIST).collect()], np.int64).view(np.uint64)
 
 
+def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each hash.  They are mixed before: the smallest of many hashes has its upper bits clear."""
+    return ((mix(x) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
 def _dealt(batches, buckets: int, length: int, gram: int, hot: np.ndarray):
     """Pieces of a batch of texts, packed for each bucket; of equal pieces one goes on, marked as seen twice.
 
@@ -117,19 +122,22 @@ def _dealt(batches, buckets: int, length: int, gram: int, hot: np.ndarray):
         rows = np.concatenate(rows) if rows else np.zeros(0, _ROW)
         rows["flag"] |= np.where(np.isin(rows["key"], copies), TWICE, 0).astype(np.uint16)
         rows, local = _pick(rows)
-        bucket = ((rows["h"] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        meet = rows["h"].copy()
         if len(hot):
-            often = np.isin(rows["h"], hot)
-            bucket[often] = ((mix(rows["h"][often] ^ rows["g"][often]) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            order = np.argsort(bucket, kind="stable")
-            rows, bucket = rows[order], bucket[order]
+            often = np.isin(meet, hot)
+            meet[often] ^= rows["g"][often]
+        bucket = _bucket(meet, buckets)
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows[order], bucket[order]
         cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
         out = [
             {"bucket": k, "kind": 0, "data": rows[cuts[k] : cuts[k + 1]].tobytes()}
             for k in np.flatnonzero(np.diff(cuts)).tolist()
         ]
         if len(local):
-            out.append({"bucket": int(local["at"][0]) % buckets, "kind": 1, "data": local.tobytes()})
+            # Nothing more is to meet these: those of a batch stand in one bucket, whichever.
+            place = _bucket((local["g"] ^ local["key"].astype(np.uint64)).sum(keepdims=True), buckets)
+            out.append({"bucket": int(place[0]), "kind": 1, "data": local.tobytes()})
         yield pa.RecordBatch.from_pylist(out, schema=_PACKED)
 
 
