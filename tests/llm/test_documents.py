@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,48 @@ def test_jaccard_components(spark, near_rows, limit):
     assert got == brute_components(near_rows)
 
 
+def near_sets(rng, families, members, own):
+    """Sets of families: 60 hashes common to a family, 12 to all, ``own`` different ones each."""
+    draw = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    passage = draw(12)
+    return [np.unique(np.concatenate([core, passage, draw(own)])) for core in [draw(60) for _ in range(families)] for _ in range(members)]
+
+
+def connected(n, links):
+    root = list(range(n))
+    for i, j in links:
+        a, b = root[i], root[j]
+        root = [a if r == b else r for r in root]
+    return sorted(sorted(k for k in range(n) if root[k] == r) for r in set(root))
+
+
+def linked(sets):
+    held = [set(s.tolist()) for s in sets]
+    return [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * len(held[i] & held[j]) >= 80 * len(held[i] | held[j])]
+
+
+def test_pivots_meet_only_sets_that_share_rare_hashes(monkeypatch):
+    """Families that only common passages bring together are joined each on their own."""
+    sets = near_sets(np.random.default_rng(3), 20, 10, 4)
+    met, whole = [], jaccard_join.join_around_pivots
+    monkeypatch.setattr(jaccard_join, "join_around_pivots", lambda part: met.append(len(part)) or whole(part))
+    assert connected(len(sets), jaccard_join.join_region(sets)) == connected(len(sets), linked(sets))
+    assert met and max(met) <= 10
+
+
+def test_large_region_in_few_rounds_that_keep_no_sets(spark, monkeypatch):
+    """400 sets that hardly link, in a region above the limit: few rounds of pivots, sets are not written again in each."""
+    sets = near_sets(np.random.default_rng(4), 1, 380, 10)
+    sets += [x[1:] for x in sets[:20]]
+    rows = [(1, i, len(s), s.tobytes()) for i, s in enumerate(sets)]
+    frame_ = spark.createDataFrame([(r, i, n, bytearray(h)) for r, i, n, h in rows], "region bigint, node bigint, n bigint, hashes binary")
+    written, whole = [], jaccard_join.stage
+    monkeypatch.setattr(jaccard_join, "stage", lambda df, name: written.append(("hashes" in df.columns, name)) or whole(df, name))
+    links = jaccard_join._cut_large(frame_, 4000).collect()
+    assert connected(400, [(r.a, r.b) for r in links]) == connected(400, linked(sets))
+    assert sum(holds for holds, _ in written) <= 3 and [name for _, name in written].count("pivots") <= 5
+
+
 def test_jaccard_repeated_rows_nulls_and_empty(spark):
     rows = [(5, "a b c d e f", "s"), (5, "a b c d e f", "s"), (2, "A b c d e f", "s"), (None, "a b c d e f", "s"), (9, None, "s")]
     got = jaccard_join.link_components(frame(spark, rows)).collect()
